@@ -149,7 +149,8 @@ def scan(block: QueryBlock, batches: Iterable, k: int, group: str) -> TopK:
     with probes, bucket."""
     state = TopK(block, k)
     for batch in batches:
-        if batch.num_rows == 0:
+        batch = batch.filter(batch.column("vector").is_valid())
+        if batch.num_rows == 0 or len(block) == 0:
             continue
         columns = {
             name: np.asarray(batch.column(name).to_pylist(), dtype=object)

@@ -1 +1 @@
-
+"""Whole jobs composed of sources and operators."""

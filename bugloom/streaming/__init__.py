@@ -1 +1 @@
-
+"""Structured Streaming jobs around the batch operators."""
