@@ -5,7 +5,6 @@ queries multiply matrices, these take dot products of all pairs.
 """
 
 from bugloom import vocabulary as V
-from catalog import compose
 from catalog.compose import (
     BUGZILLA_ROWS, JAVA_TEXT, JIRA_ROWS, LOG_LINE, LOG_TEXT, MIXED_TEXT, PYTHON_TEXT,
     REPORT_TEXT, SCRIPT_TEXT,
@@ -37,7 +36,7 @@ def clean(x: str, redact: bool = False, limit: int = V.CLEAN_MAX_CHARS) -> str:
     """The entities that occur in the tables, then the cleaning steps."""
     out = f"coalesce({x}, '')"
     for entity, char in (
-        ("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&#39;", "''"),
+        ("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&lt;?", "<"), ("&gt;?", ">"), ("&#39;", "''"),
         ("&amp;?", "&"),
     ):
         out = f"regexp_replace({out}, '{entity}', '{char}', 'g')"
@@ -686,12 +685,12 @@ JAVA_SIGNALS = [
   SELECT submission_id, 1000, n, file FROM frames WHERE file IS NOT NULL
 )""",
     """firsts AS (
-  SELECT submission_id, arg_min(signal, (h, f)) AS signal, min((h, f)) AS at
+  SELECT submission_id, arg_min(signal, (h, f)) AS signal, min((h, f)) AS place
   FROM ordered GROUP BY submission_id, lower(signal)
 )""",
     """signals AS (
   SELECT submission_id, signal,
-         row_number() OVER (PARTITION BY submission_id ORDER BY at) - 1 AS position FROM firsts
+         row_number() OVER (PARTITION BY submission_id ORDER BY place) - 1 AS position FROM firsts
 )""",
 ]
 ORACLES["key_signals"] = with_parts(*JAVA_SIGNALS) + """
@@ -726,14 +725,6 @@ SELECT 'submission-' || normalized.submission_id AS defect_id, 'user_submission'
        normalized_text AS description, {severity_guess('t')} AS severity, true AS has_stack_trace,
        'java' AS language, 'unknown' AS resolution, keywords
 FROM normalized JOIN subs ON normalized.submission_id = subs.submission_id"""
-ORACLES["parsed_submissions"] = with_parts(
-    orders_as(MIXED_TEXT), *typed(), scored("subs"),
-) + f"""
-SELECT types.submission_id, artifact_type, {LANGUAGE} AS language,
-       count(n) FILTER (NOT_PYTHON AND IS_HEAD)
-FROM types"""
-
-
 # The number of exceptions follows from the kind of text each order got.
 def _counts(name: str, text_query: str) -> str:
     return (
@@ -744,7 +735,7 @@ def _counts(name: str, text_query: str) -> str:
 
 ORACLES["parsed_submissions"] = with_parts(
     orders_as(MIXED_TEXT, "mixed"),
-    *[p.replace("lines AS", "lines AS", 1) for p in typed("mixed")],
+    *typed("mixed"),
     scored("mixed"),
     _counts("java_n", ORACLES["java_chains"]),
     _counts("python_n", ORACLES["python_chains"]),
@@ -761,7 +752,7 @@ LEFT JOIN java_n ON types.submission_id = java_n.submission_id
 LEFT JOIN python_n ON types.submission_id = python_n.submission_id
 LEFT JOIN script_n ON types.submission_id = script_n.submission_id"""
 ORACLES["log_findings"] = with_parts(EVENT_SUBS, *typed()) + """
-SELECT subs.submission_id, any_value(artifact_type) AS artifact_type, 0 AS n_exceptions,
+SELECT subs.submission_id, any_value(artifact_type) AS artifact_type, 0::BIGINT AS n_exceptions,
        NULL::VARCHAR AS root_exception,
        coalesce(string_agg(message, '|' ORDER BY n)
          FILTER (level IN ('ERROR', 'FATAL', 'CRITICAL', 'SEVERE')), '') AS salient_errors,
@@ -846,15 +837,15 @@ ORACLES["bucketed_topk"] = with_parts(
 )""",
     ranked("pairs", 5),
 ) + "SELECT * FROM ranked"
-ORACLES["recall_at_k"] = _TOP5 + """,
+ORACLES["recall_at_k"] = _TOP5.rstrip() + """,
 judged AS (
   SELECT e.vec_id, min(rank) FILTER (defect_id = e.label) AS best
   FROM embeddings e LEFT JOIN ranked ON query_id = e.vec_id GROUP BY e.vec_id
 )
 SELECT k, count(*) AS queries, count(*) FILTER (best <= k) AS hits,
        round(count(*) FILTER (best <= k) / count(*), 4) AS recall
-FROM judged CROSS JOIN (SELECT unnest([1, 3, 5]) AS k) GROUP BY k"""
-ORACLES["threshold_sweep"] = _OVERFETCHED + """,
+FROM judged CROSS JOIN (SELECT unnest([1, 3, 5]::BIGINT[]) AS k) GROUP BY k"""
+ORACLES["threshold_sweep"] = _OVERFETCHED.rstrip() + """,
 judged AS (SELECT score, defect_id = label AS correct
            FROM ranked JOIN embeddings ON query_id = vec_id)
 SELECT threshold, count(*) FILTER (score >= threshold) AS flagged,
@@ -866,5 +857,142 @@ SELECT threshold, count(*) FILTER (score >= threshold) AS flagged,
          / (SELECT count(*) FROM embeddings), 4) AS recall
 FROM judged CROSS JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5]::DOUBLE[]) AS threshold)
 GROUP BY threshold"""
-for _name in ("recall_at_k", "threshold_sweep"):
-    ORACLES[_name] = ORACLES[_name].replace("\n,\n", ",\n")
+
+
+# ---------------------------------------------------------------------------
+# Hashed embeddings: murmur3 over the bytes of every distinct token
+# ---------------------------------------------------------------------------
+def _mixed(k: str) -> str:
+    scaled = f"(({k})::HUGEINT * 3432918353 % 4294967296)"
+    turned = f"({scaled} % 131072 * 32768 + {scaled} // 131072)"
+    return f"CAST({turned} * 461845907 % 4294967296 AS BIGINT)"
+
+
+def vector_parts(texts: str) -> list[str]:
+    """CTEs from ``texts(side, key, body)`` to unit vectors ``unit(side, key, j, x)``."""
+    half = V.EMBEDDING_DIM
+    return [
+        rf"""tokens AS (
+  SELECT side, key, token, count(*) AS c FROM (
+    SELECT side, key, unnest(regexp_extract_all(lower(body), '{W}+')) AS token FROM {texts})
+  GROUP BY side, key, token
+)""",
+        """bytes AS (
+  SELECT token, list_transform(range(octet_length(encode(token))),
+    lambda i: ('0x' || substr(hex(encode(token)), 2 * i + 1, 2))::BIGINT) AS b
+  FROM (SELECT DISTINCT token FROM tokens)
+)""",
+        f"""folded AS (
+  SELECT token, len(b) AS n, b[len(b) - len(b) % 4 + 1:] AS tail, list_reduce(
+    list_transform(range(len(b) // 4), lambda i: {_mixed(
+        "b[4 * i + 1] + 256 * b[4 * i + 2] + 65536 * b[4 * i + 3] + 16777216 * b[4 * i + 4]")}),
+    lambda h, k: (xor(h, k) % 524288 * 8192 + xor(h, k) // 524288) * 5 % 4294967296
+      + 3864292196 - CASE WHEN (xor(h, k) % 524288 * 8192 + xor(h, k) // 524288) * 5 % 4294967296
+      + 3864292196 >= 4294967296 THEN 4294967296 ELSE 0 END,
+    42::BIGINT) AS h
+  FROM bytes
+)""",
+        f"""tailed AS (
+  SELECT token, xor(n, CASE WHEN len(tail) = 0 THEN h ELSE xor(h, {_mixed(
+      "tail[1] + 256 * coalesce(tail[2], 0) + 65536 * coalesce(tail[3], 0)")}) END) AS h
+  FROM folded
+)""",
+        "mixed1 AS (SELECT token, CAST(xor(h, h >> 16)::HUGEINT * 2246822507 % 4294967296"
+        " AS BIGINT) AS h FROM tailed)",
+        "mixed2 AS (SELECT token, CAST(xor(h, h >> 13)::HUGEINT * 3266489909 % 4294967296"
+        " AS BIGINT) AS h FROM mixed1)",
+        f"""slots AS (
+  SELECT token, (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END % {2 * half}
+    + {2 * half}) % {2 * half} AS slot FROM (SELECT token, xor(h, h >> 16) AS h FROM mixed2)
+)""",
+        f"""summed AS (
+  SELECT side, key, slot % {half} AS j, sum(CASE WHEN slot < {half} THEN c ELSE -c END)::DOUBLE AS v
+  FROM tokens JOIN slots ON tokens.token = slots.token GROUP BY side, key, slot % {half}
+  HAVING v <> 0
+)""",
+        """unit AS (
+  SELECT side, key, j, (v / sqrt(sum(v * v) OVER (PARTITION BY side, key)))::FLOAT::DOUBLE AS x
+  FROM summed
+)""",
+    ]
+
+
+ORACLES["embedded_documents"] = with_parts(
+    "texts AS (SELECT 'd' AS side, doc_id AS key, text AS body FROM documents)",
+    *vector_parts("texts"),
+) + """
+SELECT doc_id, count(x) AS nonzero, coalesce(round(sum(abs(x)), 3), 0) AS total,
+       coalesce(round(sum(x * (j + 1)), 1), 0) AS moment
+FROM documents LEFT JOIN unit ON doc_id = key GROUP BY doc_id"""
+
+
+def searched(queries: str, k: int, condition: str = "true") -> list[str]:
+    """CTEs from ``queries`` SQL of (key, body) to ``hits`` over the document chunks."""
+    return [
+        *DOCUMENT_CHUNKS,
+        f"asked AS ({queries})",
+        f"""texts AS (
+  SELECT 'q' AS side, CAST(key AS VARCHAR) AS key, body FROM asked
+  UNION ALL SELECT 'c', chunk_id, text FROM chunks WHERE {condition}
+)""",
+        *vector_parts("texts"),
+        """pairs AS (
+  SELECT q.key AS query_id, c.key AS chunk_id, any_value(defect_id) AS defect_id,
+         round(sum(q.x * c.x), 4) AS score
+  FROM unit q JOIN unit c ON q.side = 'q' AND c.side = 'c' AND q.j = c.j
+  JOIN chunks ON chunks.chunk_id = c.key GROUP BY q.key, c.key
+)""",
+        best_of("pairs"),
+        ranked("best", k),
+        """hits AS (
+  SELECT query_id, rank, ranked.chunk_id, ranked.defect_id, score, title,
+         coalesce(severity, '') AS severity, resolution,
+         coalesce(resolution_note, '') AS resolution_note
+  FROM ranked JOIN chunks ON ranked.chunk_id = chunks.chunk_id
+)""",
+    ]
+
+
+BENCHMARK = "SELECT item_id AS key, text AS body FROM benchmark"
+# None of these texts holds traces or labels: the text for retrieval is the first line.
+_FIRST = strip(rf"regexp_extract(text, '[^{SPACES}][^\n]*')")
+BENCHMARK_LINES = f"SELECT item_id AS key, left({_FIRST}, 200) AS body FROM benchmark"
+CONVERSATIONS = f"SELECT conv_id || '-' || turn AS key, left({_FIRST}, 200) AS body FROM conversations"
+ORACLES["text_search"] = with_parts(*searched(BENCHMARK, 5), recursive=True) + """
+SELECT CAST(query_id AS BIGINT) AS query_id, rank, defect_id, chunk_id, round(score, 3) AS score,
+       title, resolution, resolution IN ('fixed', 'done') AS is_resolved_fixed FROM hits"""
+ORACLES["submission_search"] = with_parts(*searched(CONVERSATIONS, 3), recursive=True) + """
+SELECT query_id AS submission_id, rank, defect_id, round(score, 3) AS score, severity FROM hits"""
+ORACLES["fix_notes"] = with_parts(
+    *searched(BENCHMARK_LINES, 3, "resolution = 'fixed'"), recursive=True
+) + """
+SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, round(score, 3) AS score,
+       resolution, resolution_note FROM hits"""
+ORACLES["stream_submission_matches"] = with_parts(
+    *searched(BENCHMARK_LINES, 5), recursive=True
+) + """
+SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, round(score, 3) AS score,
+       score >= 0.45 AS is_duplicate FROM hits"""
+ORACLES["triage_routes"] = with_parts(
+    *searched(CONVERSATIONS, 3),
+    "subs AS (SELECT conv_id || '-' || turn AS submission_id, text AS t FROM conversations)",
+    *typed(),
+    f"""triaged AS (
+  SELECT submission_id, artifact_type, {severity_guess('t')} AS severity,
+         artifact_type <> 'unknown' AS is_actionable
+  FROM types JOIN subs USING (submission_id)
+)""",
+    """summary AS (
+  SELECT query_id AS submission_id, count(*) FILTER (score >= 0.45) AS n_duplicates,
+         arg_min(defect_id, rank) AS best, max(score) AS best_score FROM hits GROUP BY query_id
+)""",
+    recursive=True,
+) + """
+SELECT t.submission_id, artifact_type, severity, is_actionable,
+       CASE WHEN is_actionable THEN coalesce(n_duplicates, 0) ELSE 0 END AS n_duplicates,
+       is_actionable AND coalesce(n_duplicates, 0) > 0 AS is_duplicate,
+       CASE WHEN is_actionable AND n_duplicates > 0 THEN best END AS canonical_defect,
+       CASE WHEN is_actionable THEN round(best_score, 3) END AS best_score,
+       CASE WHEN NOT is_actionable THEN 'reject'
+            WHEN coalesce(n_duplicates, 0) > 0 THEN 'report' ELSE 'root_cause' END AS route
+FROM triaged t LEFT JOIN summary s ON t.submission_id = s.submission_id"""
