@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bugloom import vocabulary as V
-from bugloom.functions.regex import contains_any, extract, java_regex, lstrip, matches, strip
+from bugloom.functions.regex import bind, contains_any, extract, java_regex, lstrip, matches, strip
 
 ENTRY_TYPE = "struct<raw:string,timestamp:string,level:string,logger:string,message:string>"
 
@@ -19,11 +19,13 @@ def is_log_line(line: Column) -> Column:
 
 
 def _level(line: Column) -> Column:
-    word = extract(line, V.LOG_LEVEL, 1)
-    case = F
-    for short, full in V.LOG_LEVEL_ALIASES.items():
-        case = case.when(word == short, full)
-    return case.otherwise(word)
+    def full_name(word: Column) -> Column:
+        case = F
+        for short, full in V.LOG_LEVEL_ALIASES.items():
+            case = case.when(word == short, full)
+        return case.otherwise(word)
+
+    return bind(extract(line, V.LOG_LEVEL, 1), full_name)
 
 
 def _message(line: Column) -> Column:

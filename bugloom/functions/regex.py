@@ -62,8 +62,12 @@ def unify_newlines(col: Column) -> Column:
     return F.regexp_replace(col, r"\r\n?", "\n")
 
 
-def matches(col: Column, pattern: str, multiline: bool = False) -> Column:
-    return col.rlike(java_regex(pattern, multiline))
+def matches(
+    col: Column, pattern: str, multiline: bool = False, literals: tuple[str, ...] = ()
+) -> Column:
+    """Regex test. Of ``literals``, every match contains one: others are spared the regex."""
+    found = col.rlike(java_regex(pattern, multiline))
+    return contains_any(col, literals) & found if literals else found
 
 
 def extract(col: Column, pattern: str, group: int, multiline: bool = False) -> Column:

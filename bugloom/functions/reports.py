@@ -8,19 +8,24 @@ from bugloom.functions.regex import bind, contains_any, extract, java_regex, mat
 
 
 def _field_of(line: Column) -> Column:
-    """Field that a label line opens, NULL for every other line."""
-    label = F.lower(
-        strip(
-            F.when(matches(line, V.LABEL_COLON), extract(line, V.LABEL_COLON, 1)).otherwise(
-                extract(line, V.LABEL_HEADING, 1)
-            )
-        )
+    """Field that a label line opens, NULL for every other line.
+
+    Lines without colon or number sign cannot be labels and are spared the patterns.
+    """
+    with_colon = F.when(
+        line.contains(":") | line.contains("："),
+        F.nullif(extract(line, V.LABEL_COLON, 1), F.lit("")),
     )
-    case = F
-    for name in V.FIELD_NAMES:
-        labels = [known for known, field in V.SECTION_LABELS.items() if field == name]
-        case = case.when(label.isin(labels), name)
-    return case.otherwise(F.lit(None))
+    heading = F.when(line.contains("#"), extract(line, V.LABEL_HEADING, 1))
+
+    def field(label: Column) -> Column:
+        case = F
+        for name in V.FIELD_NAMES:
+            labels = [known for known, opened in V.SECTION_LABELS.items() if opened == name]
+            case = case.when(label.isin(labels), name)
+        return case.otherwise(F.lit(None))
+
+    return bind(F.lower(strip(F.coalesce(with_colon, heading))), field)
 
 
 def _sections(lines: Column) -> Column:

@@ -80,12 +80,13 @@ def _java_head(line: Column, is_cause: Column, frames: Column) -> Column:
 
 def java_chain(lines: Column) -> Column:
     def classify(line: Column) -> Column:
-        is_cause = matches(line, V.JAVA_CAUSE)
-        is_frame = matches(line, V.JAVA_FRAME)
+        is_cause = matches(line, V.JAVA_CAUSE, literals=("Caused by:",))
+        is_frame = matches(line, V.JAVA_FRAME, literals=("(",))
+        is_thrown = matches(strip(line), V.JAVA_EXCEPTION, literals=V.JAVA_TYPE_ENDS)
         return F.struct(
             line.alias("line"),
             is_cause.alias("is_cause"),
-            (~is_frame & (is_cause | matches(strip(line), V.JAVA_EXCEPTION))).alias("is_head"),
+            (~is_frame & (is_cause | is_thrown)).alias("is_head"),
             is_frame.alias("is_frame"),
         )
 
@@ -125,9 +126,10 @@ def _python_frame(line: Column) -> Column:
 
 def _python_line(line: Column) -> Column:
     """Role of a line inside a block, and whether it is a header."""
+    is_exception = matches(strip(line), V.PYTHON_EXCEPTION, literals=V.PYTHON_TYPE_ENDS)
     role = (
-        F.when(matches(line, V.PYTHON_FRAME), "frame")
-        .when(matches(strip(line), V.PYTHON_EXCEPTION), "exception")
+        F.when(matches(line, V.PYTHON_FRAME, literals=('File "',)), "frame")
+        .when(is_exception, "exception")
         .when(is_blank(line) | contains_any(line, V.PYTHON_CHAIN_NOTES), "gap")
         .otherwise("other")
     )
@@ -216,7 +218,10 @@ def _script_frame(line: Column) -> Column:
 
 def generic_chain(lines: Column) -> Column:
     def is_head(line: Column) -> Column:
-        return matches(strip(line), V.GENERIC_EXCEPTION) | matches(strip(line), V.PANIC_LINE)
+        bare = strip(line)
+        return matches(bare, V.GENERIC_EXCEPTION, literals=V.GENERIC_TYPE_ENDS) | matches(
+            bare, V.PANIC_LINE, literals=("panic:",)
+        )
 
     def head(line: Column, frames: Column) -> Column:
         bare = matches(line, V.GENERIC_EXCEPTION)
@@ -252,7 +257,9 @@ def generic_chain(lines: Column) -> Column:
         )
 
     def with_heads(heads: Column) -> Column:
-        flags = F.transform(lines, lambda line: matches(line, V.SCRIPT_FRAME))
+        flags = F.transform(
+            lines, lambda line: matches(line, V.SCRIPT_FRAME, literals=("at",))
+        )
         return F.when(F.size(heads) == 0, F.array().cast(CHAIN_TYPE)).otherwise(
             bind(flags, lambda f: chain(f, heads).cast(CHAIN_TYPE))
         )

@@ -7,6 +7,7 @@ from bugloom import vocabulary as V
 from bugloom.functions.chunks import split_text
 from bugloom.functions.text import clean_text
 from bugloom.schema import CHUNK_COLUMNS, combined_text, metadata_columns
+from bugloom.session import unnest
 
 
 def chunk_texts(
@@ -15,11 +16,8 @@ def chunk_texts(
     """Replace a text column by ``(chunk_index, n_chunks, text)``, one row per piece."""
     pieces = df.withColumn("_pieces", split_text(F.col(text_col), size, overlap))
     rest = [c for c in df.columns if c != text_col]
-    return pieces.select(
-        *rest,
-        F.size("_pieces").alias("n_chunks"),
-        F.posexplode("_pieces").alias("chunk_index", "text"),
-    )
+    n_chunks = F.size("_pieces").alias("n_chunks")
+    return unnest(pieces, "_pieces", "chunk_index", "text", *rest, n_chunks)
 
 
 def chunk_defects(
@@ -46,11 +44,8 @@ def chunk_defects(
         )
         .drop("_split")
     )
-    exploded = prepared.select(
-        "*",
-        F.size("_pieces").alias("n_chunks"),
-        F.posexplode("_pieces").alias("chunk_index", "text"),
-    )
+    n_chunks = F.size("_pieces").alias("n_chunks")
+    exploded = unnest(prepared, "_pieces", "chunk_index", "text", "*", n_chunks)
     return exploded.withColumn(
         "chunk_id",
         F.concat(F.col("defect_id"), F.lit("::chunk"), F.col("chunk_index").cast("string")),

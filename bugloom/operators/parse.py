@@ -14,6 +14,7 @@ from bugloom.functions.language import detect_language
 from bugloom.functions.regex import split_lines, unify_newlines
 from bugloom.functions.vocab_maps import guess_severity
 from bugloom.schema import to_records
+from bugloom.session import unnest
 
 
 def with_lines(submissions: DataFrame) -> DataFrame:
@@ -108,9 +109,7 @@ def submission_records(parsed: DataFrame) -> DataFrame:
 
 def exceptions_table(parsed: DataFrame) -> DataFrame:
     """One row per exception of a chain."""
-    return parsed.select(
-        "submission_id", F.posexplode("exceptions").alias("chain_index", "exception")
-    ).select(
+    return unnest(parsed, "exceptions", "chain_index", "exception", "submission_id").select(
         "submission_id",
         "chain_index",
         "exception.exception_type",
@@ -123,26 +122,24 @@ def exceptions_table(parsed: DataFrame) -> DataFrame:
 
 def frames_table(parsed: DataFrame) -> DataFrame:
     """One row per stack frame."""
-    return (
-        exceptions_table(parsed)
-        .select(
-            "submission_id",
-            "chain_index",
-            "exception_type",
-            F.posexplode("frames").alias("frame_index", "frame"),
-        )
-        .select("submission_id", "chain_index", "exception_type", "frame_index", "frame.*")
+    keys = ("submission_id", "chain_index", "exception_type")
+    exceptions = exceptions_table(parsed)
+    return unnest(exceptions, "frames", "frame_index", "frame", *keys).select(
+        *keys, "frame_index", "frame.*"
     )
 
 
 def log_entries_table(parsed: DataFrame) -> DataFrame:
-    return parsed.select(
-        "submission_id", F.posexplode("log_entries").alias("entry_index", "entry")
-    ).select("submission_id", "entry_index", "entry.*")
+    return unnest(parsed, "log_entries", "entry_index", "entry", "submission_id").select(
+        "submission_id", "entry_index", "entry.*"
+    )
 
 
 def fields_table(parsed: DataFrame) -> DataFrame:
-    return parsed.select("submission_id", F.explode("bug_fields").alias("field", "value"))
+    entries = F.map_entries("bug_fields")
+    return unnest(parsed, entries, "at", "entry", "submission_id").select(
+        "submission_id", F.col("entry.key").alias("field"), "entry.value"
+    )
 
 
 def log_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:

@@ -45,8 +45,6 @@ def build_kb(
     if reset:
         reset_kb(spark, kb_path)
     records = load_all(spark, paths, limit, skip_missing)
-    # A multi-line export is one split; spread its rows before the costly steps.
-    records = records.repartition(spark.sparkContext.defaultParallelism)
     chunks = chunk_defects(records, size, overlap)
     append_chunks(chunks, kb_path, embedder)
     kb = read_kb(spark, kb_path)

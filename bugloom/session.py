@@ -2,7 +2,12 @@
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "8", checkpoint_dir: str | None = None) -> SparkSession:
@@ -35,6 +40,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The rows written once to the shared folder, for steps that read them repeatedly.
+
+    Later steps then neither recompute them nor depend on the executors that did.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def unnest(df: DataFrame, array: str | Column, index: str, item: str, *keep) -> DataFrame:
+    """One row per array element with its position.
+
+    The outer form on purpose: for the inner one the optimizer adds a filter on the array
+    below, and so computes the array twice.
+    """
+    exploded = df.select(*keep, F.posexplode_outer(array).alias(index, item))
+    return exploded.filter(F.col(index).isNotNull())
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use all cores for a scan with fewer splits than cores; larger scans stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

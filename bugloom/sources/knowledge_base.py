@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from bugloom.operators.embed import Embedder, embed_text
 from bugloom.schema import CHUNK_COLUMNS
+from bugloom.session import staged
 from bugloom.sources.load import path_kind
 
 COLUMNS = (*CHUNK_COLUMNS, "embedding")
@@ -40,14 +41,14 @@ def one_per_id(chunks: DataFrame) -> DataFrame:
 
 
 def absent_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Chunks whose id is not stored yet.
+    """Chunks whose id is not stored yet; ``chunks`` should be a stored table itself.
 
     A small batch probes the stored ids by broadcast, so that appending to a large table
     scans its id column once and shuffles only the hits. A large batch joins by shuffle.
     """
     keys = ["source", "chunk_id"]
     ids, known = chunks.select(*keys), stored.select(*keys)
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if ids.count() <= BROADCAST_IDS:
         known = known.join(F.broadcast(ids.distinct()), keys, "left_semi")
     return one_per_id(chunks).join(known, keys, "left_anti").select(*chunks.columns)
 
@@ -59,8 +60,9 @@ def _write(chunks: DataFrame, path: str, mode: str) -> None:
 
 def append_chunks(chunks: DataFrame, path: str, embedder: Embedder | None = None) -> None:
     """Embed and insert the chunks whose id is absent. Repeating the call adds nothing."""
-    absent = absent_chunks(chunks, read_kb(chunks.sparkSession, path))
-    _write(embed_text(absent, "text", "embedding", embedder), path, "append")
+    with staged(chunks, "chunks") as batch:
+        absent = absent_chunks(batch, read_kb(chunks.sparkSession, path))
+        _write(embed_text(absent, "text", "embedding", embedder), path, "append")
 
 
 def reset_kb(spark: SparkSession, path: str) -> None:

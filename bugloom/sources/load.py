@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bugloom import vocabulary as V
 from bugloom.operators import normalize as N
 from bugloom.schema import RECORD_COLUMNS, to_records
+from bugloom.session import spread
 from bugloom.sources.tracker_csv import POSITION, read_export
 from bugloom.sources.tracker_xml import read_defects
 
@@ -36,7 +37,8 @@ def load_source(
     if kind == "dir" and not _holds_csv(spark, path):
         records = N.normalize_xml_defects(read_defects(spark, path), source)
     else:
-        rows = read_export(spark, path)
+        # A multi-line file is one split: spread its rows before the costly steps.
+        rows = spread(read_export(spark, path))
         if source == "apache":
             rows = N.keep_defect_types(rows) if keep_only_bugs else rows
             records = N.normalize_jira(rows, source)

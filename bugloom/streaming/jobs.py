@@ -11,6 +11,7 @@ from bugloom.operators.chunk import chunk_defects
 from bugloom.operators.embed import Embedder
 from bugloom.operators.parse import log_lines, parse_submissions
 from bugloom.operators.search import flag_duplicates, search_submissions
+from bugloom.session import spread
 from bugloom.sources.knowledge_base import append_chunks, read_kb
 
 
@@ -39,7 +40,7 @@ def match_submissions(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         kb = read_kb(batch.sparkSession, kb_path)
-        parsed = parse_submissions(batch.dropDuplicates(["submission_id"]))
+        parsed = parse_submissions(spread(batch))
         hits = search_submissions(parsed, kb, k, embedder=embedder)
         flagged = flag_duplicates(hits, threshold)
         flagged.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
@@ -59,7 +60,7 @@ def maintain_kb(
     """Insert the chunks of arriving records; a repeated batch finds its ids present."""
 
     def step(batch: DataFrame, _: int) -> None:
-        append_chunks(chunk_defects(batch, size, overlap), kb_path, embedder)
+        append_chunks(chunk_defects(spread(batch), size, overlap), kb_path, embedder)
 
     return _run(stream, step, checkpoint, once)
 

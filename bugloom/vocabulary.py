@@ -173,6 +173,13 @@ SCRIPT_FRAME = r"^\s*at\s+(?:([^()]+?)\s+\()?([^()]+?):(\d+):\d+\)?\s*$"
 GENERIC_EXCEPTION = r"^([A-Za-z_][\w.]*(?:Error|Exception))(?::\s?(.*))?$"
 PANIC_LINE = r"^(panic):\s?(.*)$"
 
+# Literals of which every match of a pattern contains one.
+JAVA_TYPE_ENDS = ("Exception", "Error", "Throwable")
+GENERIC_TYPE_ENDS = ("Error", "Exception")
+PYTHON_TYPE_ENDS = (
+    "Error", "Exception", "Warning", "Exit", "Interrupt", "Failure", "Timeout", "StopIteration",
+)
+
 # (language, ((pattern, literal every match of it contains), ...))
 LANGUAGE_SIGNALS = (
     ("python", (

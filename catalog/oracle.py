@@ -959,19 +959,19 @@ _FIRST = strip(rf"regexp_extract(text, '[^{SPACES}][^\n]*')")
 BENCHMARK_LINES = f"SELECT item_id AS key, left({_FIRST}, 200) AS body FROM benchmark"
 CONVERSATIONS = f"SELECT conv_id || '-' || turn AS key, left({_FIRST}, 200) AS body FROM conversations"
 ORACLES["text_search"] = with_parts(*searched(BENCHMARK, 5), recursive=True) + """
-SELECT CAST(query_id AS BIGINT) AS query_id, rank, defect_id, chunk_id, round(score, 3) AS score,
+SELECT CAST(query_id AS BIGINT) AS query_id, rank, defect_id, chunk_id, score,
        title, resolution, resolution IN ('fixed', 'done') AS is_resolved_fixed FROM hits"""
 ORACLES["submission_search"] = with_parts(*searched(CONVERSATIONS, 3), recursive=True) + """
-SELECT query_id AS submission_id, rank, defect_id, round(score, 3) AS score, severity FROM hits"""
+SELECT query_id AS submission_id, rank, defect_id, score, severity FROM hits"""
 ORACLES["fix_notes"] = with_parts(
     *searched(BENCHMARK_LINES, 3, "resolution = 'fixed'"), recursive=True
 ) + """
-SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, round(score, 3) AS score,
+SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, score,
        resolution, resolution_note FROM hits"""
 ORACLES["stream_submission_matches"] = with_parts(
     *searched(BENCHMARK_LINES, 5), recursive=True
 ) + """
-SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, round(score, 3) AS score,
+SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, score,
        score >= 0.45 AS is_duplicate FROM hits"""
 ORACLES["triage_routes"] = with_parts(
     *searched(CONVERSATIONS, 3),
@@ -992,7 +992,7 @@ SELECT t.submission_id, artifact_type, severity, is_actionable,
        CASE WHEN is_actionable THEN coalesce(n_duplicates, 0) ELSE 0 END AS n_duplicates,
        is_actionable AND coalesce(n_duplicates, 0) > 0 AS is_duplicate,
        CASE WHEN is_actionable AND n_duplicates > 0 THEN best END AS canonical_defect,
-       CASE WHEN is_actionable THEN round(best_score, 3) END AS best_score,
+       CASE WHEN is_actionable THEN best_score END AS best_score,
        CASE WHEN NOT is_actionable THEN 'reject'
             WHEN coalesce(n_duplicates, 0) > 0 THEN 'report' ELSE 'root_cause' END AS route
 FROM triaged t LEFT JOIN summary s ON t.submission_id = s.submission_id"""

@@ -15,7 +15,7 @@ from bugloom.operators import chunk, embed, evaluate, normalize, parse, patterns
 from bugloom.operators import triage
 from bugloom.plans.build import build_kb
 from bugloom.schema import RECORD_COLUMNS, combined_text, to_metadata, to_records
-from bugloom.session import shared_folder, spread
+from bugloom.session import shared_folder, spread, unnest
 from bugloom.sources.knowledge_base import append_chunks, read_kb
 from bugloom.sources.load import load_source
 from bugloom.sources.tracker_csv import POSITION
@@ -420,12 +420,8 @@ def key_signals(spark, sf_dir):
     lined = parse.with_exceptions(
         parse.with_lines(order_submissions(compose.JAVA_TEXT)(spark, sf_dir))
     )
-    return lined.select(
-        "submission_id",
-        F.posexplode(
-            signal_functions.key_signals(F.col("raw_text"), F.col("exceptions"))
-        ).alias("position", "signal"),
-    ).withColumn("position", F.col("position").cast("bigint"))
+    found = signal_functions.key_signals(F.col("raw_text"), F.col("exceptions"))
+    return big(unnest(lined, found, "position", "signal", "submission_id"), "position")
 
 
 def report_signals(spark, sf_dir):
@@ -523,7 +519,7 @@ def _benchmark_queries(spark, sf_dir) -> DataFrame:
 def text_search(spark, sf_dir):
     hits = search.search(_benchmark_queries(spark, sf_dir), document_kb(spark, sf_dir))
     return _hits(hits).select(
-        "query_id", "rank", "defect_id", "chunk_id", F.round("score", 3).alias("score"),
+        "query_id", "rank", "defect_id", "chunk_id", "score",
         "title", "resolution", "is_resolved_fixed",
     )
 
@@ -532,7 +528,7 @@ def submission_search(spark, sf_dir):
     parsed = parse.parse_submissions(conversation_submissions(spark, sf_dir))
     hits = search.search_submissions(parsed, document_kb(spark, sf_dir), 3)
     return _hits(hits).select(
-        "submission_id", "rank", "defect_id", F.round("score", 3).alias("score"), "severity"
+        "submission_id", "rank", "defect_id", "score", "severity"
     )
 
 
@@ -564,7 +560,7 @@ def fix_notes(spark, sf_dir):
     notes = triage.fix_notes(
         parse.parse_submissions(texts), document_kb(spark, sf_dir), 3
     )
-    return _hits(notes).withColumn("score", F.round("score", 3))
+    return _hits(notes)
 
 
 def triage_routes(spark, sf_dir):
@@ -574,9 +570,7 @@ def triage_routes(spark, sf_dir):
     hits = search.search_submissions(
         parsed.filter("is_actionable"), document_kb(spark, sf_dir), 3
     )
-    return triage.route(parsed, hits, DUPLICATE_LEVEL).withColumn(
-        "best_score", F.round("best_score", 3)
-    )
+    return triage.route(parsed, hits, DUPLICATE_LEVEL)
 
 
 def log_findings(spark, sf_dir):
@@ -645,7 +639,7 @@ def stream_submission_matches(spark, sf_dir):
     ).awaitTermination()
     found = spark.read.option("recursiveFileLookup", True).parquet(out)
     return _hits(found).select(
-        "submission_id", "rank", "defect_id", F.round("score", 3).alias("score"),
+        "submission_id", "rank", "defect_id", "score",
         "is_duplicate",
     )
 
