@@ -54,19 +54,23 @@ def _between(items: Column, after: Column, before: Column) -> Column:
 # Java: a head owns the frame lines up to the next head
 # ---------------------------------------------------------------------------
 def _java_frame(line: Column) -> Column:
-    signature = extract(line, V.JAVA_FRAME, 1)
-    location = extract(line, V.JAVA_FRAME, 2)
-    function = F.substring_index(signature, ".", -1)
-    return _frame(
-        line,
-        file=F.nullif(extract(location, V.JAVA_LOCATION, 1), F.lit("")),
-        line=F.nullif(extract(location, V.JAVA_LOCATION, 2), F.lit("")),
-        function=function,
-        module=F.when(
-            signature.contains("."),
-            F.substring(signature, F.lit(1), F.length(signature) - F.length(function) - 1),
-        ),
+    def build(parts: Column) -> Column:
+        signature, location = parts["signature"], parts["location"]
+        function = F.substring_index(signature, ".", -1)
+        before = F.length(signature) - F.length(function) - 1
+        return _frame(
+            line,
+            file=F.nullif(extract(location, V.JAVA_LOCATION, 1), F.lit("")),
+            line=F.nullif(extract(location, V.JAVA_LOCATION, 2), F.lit("")),
+            function=function,
+            module=F.when(before >= 0, F.substring(signature, F.lit(1), before)),
+        )
+
+    parts = F.struct(
+        extract(line, V.JAVA_FRAME, 1).alias("signature"),
+        extract(line, V.JAVA_FRAME, 2).alias("location"),
     )
+    return bind(parts, build)
 
 
 def _java_head(line: Column, is_cause: Column, frames: Column) -> Column:
