@@ -44,7 +44,10 @@ def read_attribute(spark: SparkSession, root: str, name: str) -> DataFrame:
     whats = F.flatten(
         F.transform(
             "update",
-            lambda u: F.transform(u["what"], lambda w: F.coalesce(w, F.lit(""))),
+            lambda u: F.coalesce(
+                F.transform(u["what"], lambda w: F.coalesce(w, F.lit(""))),
+                F.array().cast("array<string>"),
+            ),
         )
     )
     return (

@@ -13,9 +13,10 @@ from bugloom.functions.text import clean_text
 from bugloom.functions.vocab_maps import guess_severity
 from bugloom.operators import chunk, embed, evaluate, normalize, parse, patterns, search, stats
 from bugloom.operators import triage
+from bugloom.plans.analyze import analyze
 from bugloom.plans.build import build_kb
 from bugloom.schema import RECORD_COLUMNS, combined_text, to_metadata, to_records
-from bugloom.session import shared_folder, spread, unnest
+from bugloom.session import shared_folder, spread, staged, unnest
 from bugloom.sources.knowledge_base import append_chunks, read_kb
 from bugloom.sources.load import load_source
 from bugloom.sources.tracker_csv import POSITION
@@ -244,8 +245,13 @@ def xml_export_scan(spark, sf_dir):
     rows = view(spark, sf_dir, compose.BUGZILLA_ROWS, "orders", "customer").filter(
         "trim(bug_id) <> ''"
     )
-    rows = rows.repartition(spark.sparkContext.defaultParallelism, "bug_id")
     path = scratch(spark, "export")
+    with staged(rows, "rows") as stored:
+        _write_exports(stored.repartition(spark.sparkContext.defaultParallelism, "bug_id"), path)
+    return _plain(load_source(spark, "mozilla", path)).drop("project")
+
+
+def _write_exports(rows: DataFrame, path: str) -> None:
     report = rows.select(
         F.col("bug_id").alias("_id"), F.col("creation_ts").alias("opening_time"), "reporter"
     )
@@ -256,7 +262,6 @@ def xml_export_scan(spark, sf_dir):
         )
         attribute = rows.select(F.col("bug_id").alias("_id"), updates.alias("update"))
         _write_products(attribute, path, name)
-    return _plain(load_source(spark, "mozilla", path)).drop("project")
 
 
 def _write_products(reports: DataFrame, path: str, name: str) -> None:
@@ -564,13 +569,14 @@ def fix_notes(spark, sf_dir):
 
 
 def triage_routes(spark, sf_dir):
-    parsed = triage.actionable(
-        parse.parse_submissions(conversation_submissions(spark, sf_dir))
-    )
-    hits = search.search_submissions(
-        parsed.filter("is_actionable"), document_kb(spark, sf_dir), 3
+    """The whole analysis of the conversations against a stored knowledge base."""
+    kb_path = scratch(spark, "kb")
+    append_chunks(document_chunks(spark, sf_dir), kb_path)
+    analysis = analyze(
+        conversation_submissions(spark, sf_dir), read_kb(spark, kb_path),
+        scratch(spark, "analysis"), 3, DUPLICATE_LEVEL,
     )
-    return triage.route(parsed, hits, DUPLICATE_LEVEL)
+    return analysis.routing
 
 
 def log_findings(spark, sf_dir):
