@@ -85,9 +85,9 @@ def fix_notes(
 ) -> DataFrame:
     """Notes of the nearest fixed defects of each submission. The filter precedes ranking."""
     fixed = kb.filter(F.col("resolution").isin(*V.FIXED_RESOLUTIONS))
-    hits = search_submissions(parsed, fixed, k, embedder=embedder)
-    notes = kb.select("chunk_id", "resolution_note")
-    return hits.join(notes, "chunk_id").select(
-        "submission_id", "rank", "defect_id", "score", "resolution",
-        F.coalesce("resolution_note", F.lit("")).alias("resolution_note"),
+    hits = search_submissions(
+        parsed, fixed, k, embedder=embedder, extra=("resolution_note",)
+    )
+    return hits.select(
+        "submission_id", "rank", "defect_id", "score", "resolution", "resolution_note"
     )
