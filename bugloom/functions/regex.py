@@ -17,8 +17,21 @@ WHITESPACE = "".join(
 _BREAK = r"(?:\r\n|[\n\r\x0B\f\x1C-\x1E\x85\x{2028}\x{2029}])"
 
 
+# A dotted name's segments. Java recurses once per repetition of a group and overflows its
+# stack on very long names, but for possessive repetitions. These match the same: a segment
+# is only taken if another follows, and no dot is left to give back.
+_SEGMENT = r"(?:[\w$]+\.)"
+_POSSESSIVE_SEGMENT = r"(?:[\w$]++\.(?=[\w$]))"
+
+
 def java_regex(pattern: str, multiline: bool = False) -> str:
     r"""Give ``\w \s \d \b`` Unicode meaning and make ``. ^ $`` know only ``\n``."""
+    for repeated in ("+", "{2,}"):
+        pattern = pattern.replace(_SEGMENT + repeated, _POSSESSIVE_SEGMENT + repeated + "+")
+    if multiline and pattern.startswith(r"^\s*"):
+        # White space before the marker need not reach back over lines: the marker's own line
+        # starts a match too. This keeps the search linear on many blank lines.
+        pattern = r"^[\s&&[^\n]]*+" + pattern[4:]
     out, in_class, i = [], False, 0
     while i < len(pattern):
         two = pattern[i:i + 2]

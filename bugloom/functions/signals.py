@@ -29,8 +29,15 @@ def artifact_type(text: Column, lines: Column, log_lines: Column) -> Column:
     )
 
 
-def _all_matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java_regex(pattern)), F.lit(0))
+# A file name can only start at the first word character of a run of name characters: what
+# follows in the run is part of the same, longest name. Saying so keeps the search linear.
+_FILE_NAME = V.FILE_NAME.replace(
+    r"\b[\w./-]+\.", r"(?<![\w./-])[./-]*+(\w[\w./-]*\.", 1
+) + ")"
+
+
+def _all_matches(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(java_regex(pattern)), F.lit(group))
 
 
 def _exception_signals(exception: Column) -> Column:
@@ -49,7 +56,7 @@ def key_signals(text: Column, exceptions: Column) -> Column:
     found = F.concat(
         F.flatten(F.transform(exceptions, _exception_signals)),
         _all_matches(text, V.ERROR_CODE),
-        F.slice(_all_matches(text, V.FILE_NAME), 1, V.MAX_SIGNAL_FILES),
+        F.slice(_all_matches(text, _FILE_NAME, 1), 1, V.MAX_SIGNAL_FILES),
     )
     clean = F.filter(F.transform(found, strip), lambda s: s != "")
 

@@ -133,3 +133,28 @@ def test_parsing_does_not_shuffle(spark):
     )
     plan = parse.parse_submissions(table)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_extreme_texts(spark):
+    names = "a." * 20_000
+    run = "x" * 100_000
+    texts = [
+        f"[x] ERROR {names}b failed", f"[x] ERROR {run}", f"at {names}c(", f"{names}Exception: x",
+        f"Caused by: {names}DError", "\n" * 10_000 + "x", "a/b-c." * 5_000 + "py", f"# {run}",
+        "Caused by: x\n" + "\tat a.b.C.d(E.java:1)\n" * 2_000,
+    ]
+    rows = parse.parse_submissions(_table(spark, texts)).collect()
+    by_id = {r.submission_id: r for r in rows}
+    assert by_id[0].log_entries[0].logger == names + "b"
+    assert by_id[2].language == "java" and by_id[4].exceptions[0].is_cause
+    assert by_id[6].key_signals == [texts[6]]
+    assert len(rows) == len(texts)
+
+
+def test_dotted_names(spark):
+    lines = ["[x] ERROR see com.acme.Cart. Then", "[x] ERROR a.b. c", "[x] ERROR .a.b.c", 
+             "[x] ERROR (a$b.c.d..e.f.g)", "[x] ERROR a..b.c.d-x", "[x] ERROR 10.0.0.1:80"]
+    rows = parse.parse_submissions(_table(spark, lines)).collect()
+    for row in rows:
+        want = brute.logs(lines[row.submission_id])
+        assert [e.asDict() for e in row.log_entries] == want

@@ -148,3 +148,11 @@ def test_submission_files(spark, tmp_path):
     (tmp_path / "c.log").write_text("one\ntwo\n")
     lines = read_log_lines(spark, str(tmp_path / "c.log")).select(F.col("line")).collect()
     assert [r.line for r in lines] == ["one", "two"]
+
+
+def test_long_fields_in_rows_of_wrong_length(spark, tmp_path):
+    big = 'word ""quoted""\n' * 40_000
+    (tmp_path / "x.csv").write_text(f'key,summary,description\nA-1,"{big}"\nA-2,"{big}",b,c\nA-3,"a, ""b""",c\n')
+    rows = read_export(spark, str(tmp_path / "x.csv")).collect()
+    assert [r.key for r in rows] == ["A-1", "A-3"]
+    assert rows[0].summary == big.replace('""', '"') and rows[0].description is None
