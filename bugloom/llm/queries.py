@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bugloom.llm import fingerprints as fp
-from bugloom.llm.common import table
+from bugloom.llm import line_rules, mixing, warc
+from bugloom.llm.common import new_folder, table
+from bugloom.llm.oracles import OP2_SQL, OP5_SQL, OP6_SQL
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +26,50 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as segmented, chunked records and read back."""
+    folder = new_folder(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    found = warc.read_warc(spark, folder)
+    own = F.col("type") == "response"
+    return found.select(
+        "page_id",
+        F.when(own, F.octet_length("payload")).otherwise(F.col("payload_length"))
+        .cast("bigint").alias("payload_bytes"),
+        F.when(own, warc.base32_sha1(F.col("payload"))).otherwise(F.col("digest"))
+        .alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document, in words."""
+    sizes = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.word_count(F.col("text")).alias("size")
+    )
+    return mixing.repetitions(sizes).select(
+        "doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken")
+    )
+
+
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line rules' verdict on every document."""
+    return line_rules.cleaned(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "lost_chars",
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_warc": op2_warc,
+    "op5_mixing": op5_mixing,
+    "op6_line_rules": op6_line_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": OP2_SQL,
+    "op5_mixing": OP5_SQL,
+    "op6_line_rules": OP6_SQL,
+}
