@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bugloom.llm import fingerprints as fp
-from bugloom.llm import line_rules, mixing, warc
+from bugloom.llm import line_rules, mixing, packing, token_records, warc
 from bugloom.llm.common import new_folder, table
 from bugloom.llm.oracles import OP2_SQL, OP5_SQL, OP6_SQL
 
@@ -61,11 +61,26 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in windows of 2,048."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens written as records, read back and indexed."""
+    folder = new_folder(spark, "records")
+    token_records.write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    index = token_records.write_index(spark, folder, new_folder(spark, "record-index"))
+    return token_records.with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op5_mixing": op5_mixing,
     "op6_line_rules": op6_line_rules,
+    "op8_packing": op8_packing,
+    "op10_token_records": op10_token_records,
 }
 
 ORACLES: dict[str, str] = {
