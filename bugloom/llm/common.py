@@ -4,7 +4,7 @@ import math
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bugloom.functions.regex import bind
@@ -97,10 +97,32 @@ def id_range(bounds: list[int], key: Column) -> Column:
     )
 
 
+def ranked(rows: DataFrame, key: str, order: str, parts: int) -> DataFrame:
+    """Rows with ``rank`` from 0 among those of their key.
+
+    A key's rows are dealt to ``parts`` groups, ranked in each, and the groups' counts, at most
+    ``parts`` per key, are summed up; so a key that holds most rows is not one task's work.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
+    counts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")
+    bases = counts.select(key, "_part", before.alias("_base"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) - 1
+    return (
+        dealt.withColumn("_inside", inside).join(bases, [key, "_part"])
+        .withColumn("rank", F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
+    )
+
+
 def crc32_remainder(key: Column, modulus: int) -> Column:
     """crc32 of an id's text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def sized_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table of short rows, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def crc32_remainder_py(key, modulus: int) -> int:
     return zlib.crc32(b"" if key is None else str(int(key)).encode()) % modulus

@@ -109,3 +109,47 @@ SELECT *, n_words < 50 OR 2 * n_repeat_words > n_words AS base_failed,
   NOT (n_words < 50 OR 2 * n_repeat_words > n_words) AND 100 * lost_chars <= 30 * word_chars AS kept
 FROM b
 """
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), x AS (
+  SELECT rid, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM d
+), g AS (
+  SELECT rid, n, k, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' '
+    || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS s
+  FROM x WINDOW o AS (PARTITION BY rid ORDER BY k)
+), s AS (
+  SELECT DISTINCT rid, s FROM g WHERE s IS NOT NULL
+  UNION ALL
+  SELECT rid, 'short ' || array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4
+), z AS (
+  SELECT rid, count(*) AS n, string_agg(s, chr(10) ORDER BY s) AS whole FROM s GROUP BY rid
+), c AS (
+  SELECT rid, n, min(rid) OVER (PARTITION BY whole) AS rep FROM z
+), r AS (
+  SELECT s.rid, s.s, c.n FROM s JOIN c ON s.rid = c.rid AND c.rep = c.rid
+), p AS (
+  SELECT a.rid AS a, b.rid AS b FROM r AS a JOIN r AS b
+    ON a.s = b.s AND a.rid < b.rid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), t(node, reach) AS (
+  SELECT rid, rid FROM c WHERE rep = rid
+  UNION
+  SELECT e.b, t.reach FROM t JOIN e ON t.node = e.a
+), l AS (
+  SELECT node, min(reach) AS label FROM t GROUP BY node
+), m AS (
+  SELECT c.rid, c.n, l.label FROM c JOIN l ON c.rep = l.node
+), o AS (
+  SELECT m.label, min(d.doc_id) AS low FROM m JOIN d USING (rid) GROUP BY m.label
+)
+SELECT d.doc_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_shingles,
+  CASE WHEN m.rid IS NULL THEN d.doc_id ELSE o.low END AS component_id
+FROM d LEFT JOIN m USING (rid) LEFT JOIN o ON m.label = o.label
+"""

@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bugloom.llm import fingerprints as fp
-from bugloom.llm import line_rules, mixing, packing, token_records, warc
+from bugloom.llm import line_rules, mixing, ngram_join, packing, token_records, warc
 from bugloom.llm.common import new_folder, table
-from bugloom.llm.oracles import OP2_SQL, OP5_SQL, OP6_SQL
+from bugloom.llm.oracles import OP2_SQL, OP5_SQL, OP6_SQL, OP7_SQL
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,13 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles are alike by 0.8 or more."""
+    return ngram_join.components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in windows of 2,048."""
     return packing.packed(table(spark, sf_dir, "documents"))
@@ -79,6 +86,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op5_mixing": op5_mixing,
     "op6_line_rules": op6_line_rules,
+    "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op10_token_records": op10_token_records,
 }
@@ -87,4 +95,5 @@ ORACLES: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op6_line_rules": OP6_SQL,
+    "op7_ngram_join": OP7_SQL,
 }
