@@ -10,6 +10,7 @@ the HTTP body is taken off. A record with missing segments or broken framing has
 ``complete = false`` and no payload.
 """
 
+import gzip
 import re
 import uuid
 from collections.abc import Iterator
@@ -159,12 +160,15 @@ def write_warc(
     records = with_origins(pages).mapInArrow(frame, "record binary")
     (
         records.select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+        .write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS)
+        .text(path, compression="gzip")
     )
 
 
 def parse_records(content: bytes) -> Iterator[dict]:
-    """The records of one archive, by their lengths."""
+    """The records of one archive, compressed or not, by their lengths."""
+    if content.startswith(b"\x1f\x8b"):
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         end = content.find(b"\r\n\r\n", at)
