@@ -4,7 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bugloom.llm import fingerprints as fp
-from bugloom.llm import line_rules, mixing, ngram_join, packing, token_records, warc
+from bugloom.llm import (
+    line_rules,
+    mixing,
+    ngram_join,
+    packing,
+    quality_gam,
+    token_records,
+    toxicity,
+    warc,
+)
 from bugloom.llm.common import new_folder, table
 from bugloom.llm.oracles import OP2_SQL, OP5_SQL, OP6_SQL, OP7_SQL
 
@@ -43,6 +52,24 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scores(scored: DataFrame) -> DataFrame:
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, restored by the noisy-channel decoder."""
+    return _scores(toxicity.scored(
+        table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ))
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by lookup tables."""
+    return _scores(quality_gam.scored(
+        table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document, in words."""
     sizes = table(spark, sf_dir, "documents").select(
@@ -84,6 +111,8 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_gam": op4_quality_gam,
     "op5_mixing": op5_mixing,
     "op6_line_rules": op6_line_rules,
     "op7_ngram_join": op7_ngram_join,
