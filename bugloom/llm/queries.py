@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from bugloom.llm import fingerprints as fp
 from bugloom.llm import (
+    html_cut,
     line_rules,
     mixing,
     ngram_join,
@@ -100,6 +101,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_cut.extracted(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", "n_chars"
+    )
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens written as records, read back and indexed."""
     folder = new_folder(spark, "records")
@@ -117,6 +125,7 @@ QUERIES = {
     "op6_line_rules": op6_line_rules,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
+    "op9_html_cut": op9_html_cut,
     "op10_token_records": op10_token_records,
 }
 
