@@ -144,6 +144,8 @@ def repetitions(
     known = targets.alias("s").join(limits.alias("l"), _same_source("s", "l"), "left").select(
         "s.source", "s.source_size", "s.target", "s.whole", "s.need", "l.prefix", "l.last"
     )
+    # One row per source: once it is written, its size decides how the documents meet it.
+    known = written(known, "mix-known")
     own = F.struct(F.md5(key).alias("_h"), F.col("d.doc_id"), F.col("d.size"))
     in_leaf = F.md5(key).startswith(F.col("t.prefix"))
     once_more = (
