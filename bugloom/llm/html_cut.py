@@ -338,7 +338,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """
     new = ("text", "n_chars")
     kept = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in new])
-    schema = StructType(kept.schema.fields).add("text", "string").add("n_chars", "long")
+    schema = StructType([*kept.schema.fields]).add("text", "string").add("n_chars", "long")
 
     def run(batches):
         for batch in batches:
