@@ -94,6 +94,16 @@ def contains_any(col: Column, needles) -> Column:
     return found
 
 
+def at_most(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; the whole text for None."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def first_items(array: Column, n: int | None) -> Column:
+    """The first ``n`` items; the whole array for None."""
+    return array if n is None else F.slice(array, 1, n)
+
+
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` (a lambda-bound variable)."""
     return F.element_at(F.transform(F.array(value), body), 1)

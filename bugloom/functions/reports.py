@@ -4,7 +4,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bugloom import vocabulary as V
-from bugloom.functions.regex import bind, contains_any, extract, java_regex, matches, strip
+from bugloom.functions.regex import (
+    at_most,
+    bind,
+    contains_any,
+    extract,
+    java_regex,
+    matches,
+    strip,
+)
 
 
 def _field_of(line: Column) -> Column:
@@ -62,24 +70,25 @@ def _sections(lines: Column) -> Column:
     return bind(marked, with_items)
 
 
-def first_line(lines: Column) -> Column:
-    """First non-blank line, stripped and capped; '' if there is none."""
+def first_line(lines: Column, max_chars: int | None = None) -> Column:
+    """First non-blank line, stripped; '' if there is none."""
     full = F.filter(lines, lambda line: strip(line) != "")
-    return F.substring(
-        strip(F.coalesce(F.get(full, F.lit(0)), F.lit(""))), 1, V.FALLBACK_TITLE_CHARS
-    )
+    return at_most(strip(F.coalesce(F.get(full, F.lit(0)), F.lit(""))), max_chars)
 
 
-def _fallback_summary(text: Column, lines: Column) -> Column:
+def _fallback_summary(text: Column, lines: Column, max_chars: int | None) -> Column:
     """First markdown heading, else the first non-blank line; NULL if neither exists."""
     return F.when(
         matches(text, V.HEADING, multiline=True),
         strip(extract(text, V.HEADING, 1, multiline=True)),
-    ).otherwise(F.nullif(first_line(lines), F.lit("")))
+    ).otherwise(F.nullif(first_line(lines, max_chars), F.lit("")))
+
 
+def report_fields(text: Column, lines: Column, max_chars: int | None = None) -> Column:
+    """map<field, value>; sections of one field are joined in text order.
 
-def report_fields(text: Column, lines: Column) -> Column:
-    """map<field, value>; sections of one field are joined in text order."""
+    ``max_chars`` bounds a first line that stands in for the summary.
+    """
 
     def to_map(sections: Column) -> Column:
         def value(name: str) -> Column:
@@ -91,7 +100,7 @@ def report_fields(text: Column, lines: Column) -> Column:
             F.struct(
                 F.lit(name).alias("key"),
                 (
-                    F.coalesce(value(name), _fallback_summary(text, lines))
+                    F.coalesce(value(name), _fallback_summary(text, lines, max_chars))
                     if name == "summary"
                     else value(name)
                 ).alias("value"),

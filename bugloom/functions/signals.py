@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bugloom import vocabulary as V
-from bugloom.functions.regex import bind, java_regex, strip
+from bugloom.functions.regex import at_most, bind, first_items, java_regex, strip
 from bugloom.functions.traces import looks_like_trace, summary
 from bugloom.functions.reports import has_prose
 
@@ -40,8 +40,8 @@ def _all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(java_regex(pattern)), F.lit(group))
 
 
-def _exception_signals(exception: Column) -> Column:
-    frames = F.slice(exception["frames"], 1, V.MAX_SIGNAL_FRAMES)
+def _exception_signals(exception: Column, most_frames: int | None) -> Column:
+    frames = first_items(exception["frames"], most_frames)
     places = F.transform(
         frames,
         lambda f: F.concat_ws(
@@ -51,12 +51,12 @@ def _exception_signals(exception: Column) -> Column:
     return F.concat(F.array(exception["exception_type"]), places)
 
 
-def key_signals(text: Column, exceptions: Column) -> Column:
-    """Exception types and top frames, error codes, file names: first spelling of each."""
+def key_signals(text: Column, exceptions: Column, caps: V.Caps = V.NO_CAPS) -> Column:
+    """Exception types and their frames, error codes, file names: first spelling of each."""
     found = F.concat(
-        F.flatten(F.transform(exceptions, _exception_signals)),
+        F.flatten(F.transform(exceptions, lambda e: _exception_signals(e, caps.signal_frames))),
         _all_matches(text, V.ERROR_CODE),
-        F.slice(_all_matches(text, _FILE_NAME, 1), 1, V.MAX_SIGNAL_FILES),
+        first_items(_all_matches(text, _FILE_NAME, 1), caps.signal_files),
     )
     clean = F.filter(F.transform(found, strip), lambda s: s != "")
 
@@ -64,7 +64,7 @@ def key_signals(text: Column, exceptions: Column) -> Column:
         return bind(
             F.transform(signals, F.lower),
             lambda low: F.transform(
-                F.slice(F.array_distinct(low), 1, V.MAX_SIGNALS),
+                first_items(F.array_distinct(low), caps.signals),
                 lambda key: F.get(signals, F.array_position(low, key).cast("int") - 1),
             ),
         )
@@ -72,25 +72,32 @@ def key_signals(text: Column, exceptions: Column) -> Column:
     return bind(clean, first_spellings)
 
 
-def title(fields: Column, exceptions: Column, lines_title: Column) -> Column:
+def title(
+    fields: Column, exceptions: Column, lines_title: Column, max_chars: int | None = None
+) -> Column:
     """Summary field, else the first exception, else the first line."""
     first = F.get(exceptions, F.lit(0))
     return F.coalesce(
         F.nullif(fields["summary"], F.lit("")),
-        F.nullif(F.substring(summary(first), 1, V.FALLBACK_TITLE_CHARS), F.lit("")),
+        F.nullif(at_most(summary(first), max_chars), F.lit("")),
         lines_title,
     )
 
 
 def normalized_text(
-    title_col: Column, exceptions: Column, fields: Column, signals: Column, text: Column
+    title_col: Column,
+    exceptions: Column,
+    fields: Column,
+    signals: Column,
+    text: Column,
+    caps: V.Caps = V.NO_CAPS,
 ) -> Column:
     """The focused text used for retrieval."""
 
     def exception_lines(exception: Column) -> Column:
         top = F.array_compact(
             F.transform(
-                F.slice(exception["frames"], 1, V.MAX_SIGNAL_FRAMES),
+                first_items(exception["frames"], caps.signal_frames),
                 lambda f: F.nullif(f["function"], F.lit("")),
             )
         )
@@ -117,7 +124,7 @@ def normalized_text(
     body = bind(
         parts,
         lambda p: F.when(F.size(p) > 0, F.array_join(p, "\n")).otherwise(
-            F.substring(text, 1, V.FALLBACK_TEXT_CHARS)
+            at_most(text, caps.fallback_text_chars)
         ),
     )
-    return F.substring(body, 1, V.NORMALIZED_MAX_CHARS)
+    return at_most(body, caps.normalized_chars)

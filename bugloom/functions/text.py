@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bugloom import vocabulary as V
-from bugloom.functions.regex import _SPACE, java_regex, matches, strip, unify_newlines
+from bugloom.functions.regex import (
+    _SPACE,
+    at_most,
+    java_regex,
+    matches,
+    strip,
+    unify_newlines,
+)
 
 # Trailing white space of one line: all white space but the line feed itself.
 _LINE_TAIL = rf"[{_SPACE}&&[^\n]]+(?=\n|\z)"
@@ -25,9 +32,12 @@ def unescape_entities(col: Column) -> Column:
 
 
 def clean_text(
-    col: Column, redact: bool = False, max_chars: int = V.CLEAN_MAX_CHARS
+    col: Column, redact: bool = False, max_chars: int | None = None
 ) -> Column:
-    """Entities, newlines, tags, optional redaction, white space, length cap; NULL gives ''."""
+    """Entities, newlines, tags, optional redaction, white space; NULL gives ''.
+
+    The whole text is cleaned and kept, unless ``max_chars`` is given.
+    """
     text = unify_newlines(unescape_entities(F.coalesce(col, F.lit(""))))
     text = F.regexp_replace(text, V.TAG, " ")
     if redact:
@@ -37,7 +47,7 @@ def clean_text(
     text = F.regexp_replace(text, r"[ \t\f\x0B]+", " ")
     text = F.regexp_replace(text, _LINE_TAIL, "")
     text = strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
-    return F.substring(text, 1, max_chars)
+    return at_most(text, max_chars)
 
 
 def char_count(col: Column) -> Column:

@@ -9,7 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bugloom import vocabulary as V
-from bugloom.functions.regex import bind, contains_any, extract, is_blank, matches, strip
+from bugloom.functions.regex import (
+    bind,
+    contains_any,
+    extract,
+    first_items,
+    is_blank,
+    matches,
+    strip,
+)
 
 FRAME_TYPE = "struct<raw:string,file:string,line:bigint,function:string,module:string>"
 EXCEPTION_TYPE = (
@@ -220,7 +228,7 @@ def _script_frame(line: Column) -> Column:
     )
 
 
-def generic_chain(lines: Column) -> Column:
+def generic_chain(lines: Column, most: int | None = None) -> Column:
     def is_head(line: Column) -> Column:
         bare = strip(line)
         return matches(bare, V.GENERIC_EXCEPTION, literals=V.GENERIC_TYPE_ENDS) | matches(
@@ -268,8 +276,7 @@ def generic_chain(lines: Column) -> Column:
             bind(flags, lambda f: chain(f, heads).cast(CHAIN_TYPE))
         )
 
-    first = F.slice(_positions(lines, is_head), 1, V.MAX_GENERIC_EXCEPTIONS)
-    return bind(first, with_heads)
+    return bind(first_items(_positions(lines, is_head), most), with_heads)
 
 
 # ---------------------------------------------------------------------------
@@ -283,7 +290,9 @@ def has_java_marker(text: Column) -> Column:
     return text.contains("Exception in thread") | text.contains("Caused by:")
 
 
-def exception_chain(text: Column, lines: Column, language: Column) -> Column:
+def exception_chain(
+    text: Column, lines: Column, language: Column, most_generic: int | None = None
+) -> Column:
     """Chain of the first extractor that applies and finds one."""
     python_found = F.when(has_python_header(text), python_chain(lines))
     java_found = F.when(
@@ -293,7 +302,7 @@ def exception_chain(text: Column, lines: Column, language: Column) -> Column:
     def non_empty(chain: Column) -> Column:
         return bind(chain, lambda c: F.when(F.size(c) > 0, c))
 
-    return F.coalesce(non_empty(python_found), non_empty(java_found), generic_chain(lines))
+    return F.coalesce(non_empty(python_found), non_empty(java_found), generic_chain(lines, most_generic))
 
 
 def looks_like_trace(text: Column) -> Column:

@@ -26,10 +26,12 @@ def with_lines(submissions: DataFrame) -> DataFrame:
     )
 
 
-def with_exceptions(lined: DataFrame) -> DataFrame:
+def with_exceptions(lined: DataFrame, caps: V.Caps = V.NO_CAPS) -> DataFrame:
     return lined.withColumn(
         "exceptions",
-        traces.exception_chain(F.col("raw_text"), F.col("lines"), F.col("language")),
+        traces.exception_chain(
+            F.col("raw_text"), F.col("lines"), F.col("language"), caps.generic_exceptions
+        ),
     )
 
 
@@ -44,23 +46,30 @@ def with_artifact_type(logged: DataFrame) -> DataFrame:
     )
 
 
-def with_fields(typed: DataFrame) -> DataFrame:
+def with_fields(typed: DataFrame, caps: V.Caps = V.NO_CAPS) -> DataFrame:
     """Section fields, looked for only in written reports."""
     none = F.create_map().cast("map<string,string>")
     written = F.col("artifact_type").isin("bug_report", "mixed")
-    found = reports.report_fields(F.col("raw_text"), F.col("lines"))
+    found = reports.report_fields(
+        F.col("raw_text"), F.col("lines"), caps.fallback_title_chars
+    )
     return typed.withColumn("bug_fields", F.when(written, found).otherwise(none))
 
 
-def parse_submissions(submissions: DataFrame) -> DataFrame:
-    """One wide row per submission: type, language, chains, logs, fields, signals, texts."""
+def parse_submissions(submissions: DataFrame, caps: V.Caps = V.NO_CAPS) -> DataFrame:
+    """One wide row per submission: type, language, chains, logs, fields, signals, texts.
+
+    Nothing is cut, unless ``caps`` says so.
+    """
     staged = with_lines(submissions)
-    staged = with_fields(with_artifact_type(with_log_entries(with_exceptions(staged))))
+    logged = with_log_entries(with_exceptions(staged, caps))
+    staged = with_fields(with_artifact_type(logged), caps)
+    first = reports.first_line(F.col("lines"), caps.fallback_title_chars)
     staged = staged.withColumns(
         {
-            "key_signals": signals.key_signals(F.col("raw_text"), F.col("exceptions")),
+            "key_signals": signals.key_signals(F.col("raw_text"), F.col("exceptions"), caps),
             "title": signals.title(
-                F.col("bug_fields"), F.col("exceptions"), reports.first_line(F.col("lines"))
+                F.col("bug_fields"), F.col("exceptions"), first, caps.fallback_title_chars
             ),
         }
     )
@@ -82,6 +91,7 @@ def parse_submissions(submissions: DataFrame) -> DataFrame:
             F.col("bug_fields"),
             F.col("key_signals"),
             F.col("raw_text"),
+            caps,
         ).alias("normalized_text"),
         text.char_count(F.col("raw_text")).alias("char_count"),
         text.line_count(F.col("raw_text")).alias("line_count"),

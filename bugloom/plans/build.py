@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bugloom import vocabulary as V
-from bugloom.operators.chunk import chunk_defects
 from bugloom.operators.embed import Embedder
 from bugloom.operators.search import search
 from bugloom.operators.stats import kb_breakdown, kb_totals, load_totals
-from bugloom.sources.knowledge_base import append_chunks, read_kb, reset_kb
+from bugloom.sources.knowledge_base import append_records, read_kb, reset_kb
 from bugloom.sources.load import load_all
 
 
@@ -45,8 +44,7 @@ def build_kb(
     if reset:
         reset_kb(spark, kb_path)
     records = load_all(spark, paths, limit, skip_missing)
-    chunks = chunk_defects(records, size, overlap)
-    append_chunks(chunks, kb_path, embedder)
+    append_records(records, kb_path, embedder, size, overlap)
     kb = read_kb(spark, kb_path)
     answers = None
     if query:
@@ -59,9 +57,9 @@ def build_real_kb(
     spark: SparkSession,
     paths: dict[str, str],
     kb_path: str,
-    limit: int | None = V.REAL_BUILD_LIMIT,
+    limit: int | None = None,
     reset: bool = False,
     embedder: Embedder | None = None,
 ) -> BuildResult:
-    """The same over full exports: absent ones are skipped, each source is capped."""
+    """The same over full exports: absent ones are skipped, each source whole by default."""
     return build_kb(spark, paths, kb_path, limit, reset, embedder, skip_missing=True)

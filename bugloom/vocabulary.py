@@ -5,6 +5,8 @@ written in the common regex dialect and given their Unicode meaning by
 ``functions.regex.java_regex`` before Spark sees them.
 """
 
+from dataclasses import dataclass
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: domains of the record's enumerated columns
 # ---------------------------------------------------------------------------
@@ -275,20 +277,42 @@ NORMALIZED_FIELDS = ("steps_to_reproduce", "expected", "actual", "description",
 # ---------------------------------------------------------------------------
 # FIXED VALUES: defaults
 # ---------------------------------------------------------------------------
-CLEAN_MAX_CHARS = 20_000
-TITLE_MAX_CHARS = 500
-NOTE_MAX_CHARS = 1000
 CHUNK_SIZE = 800
 CHUNK_OVERLAP = 120
 EMBEDDING_DIM = 384
 TOP_K = 5
 OVERFETCH = 4
 DUPLICATE_THRESHOLD = 0.60
-MAX_SIGNALS = 20
-MAX_SIGNAL_FRAMES = 3
-MAX_SIGNAL_FILES = 5
-MAX_GENERIC_EXCEPTIONS = 3
-FALLBACK_TITLE_CHARS = 200
-FALLBACK_TEXT_CHARS = 1500
-NORMALIZED_MAX_CHARS = 4000
-REAL_BUILD_LIMIT = 3000
+
+
+@dataclass(frozen=True)
+class Caps:
+    """Upper bounds on texts and lists; None, the default of each, cuts nothing."""
+
+    clean_chars: int | None = None
+    title_chars: int | None = None
+    note_chars: int | None = None
+    signals: int | None = None
+    signal_frames: int | None = None
+    signal_files: int | None = None
+    generic_exceptions: int | None = None
+    fallback_title_chars: int | None = None
+    fallback_text_chars: int | None = None
+    normalized_chars: int | None = None
+    records_per_source: int | None = None
+
+
+NO_CAPS = Caps()
+PUBLISHED_CAPS = Caps(
+    clean_chars=20_000,
+    title_chars=500,
+    note_chars=1000,
+    signals=20,
+    signal_frames=3,
+    signal_files=5,
+    generic_exceptions=3,
+    fallback_title_chars=200,
+    fallback_text_chars=1500,
+    normalized_chars=4000,
+    records_per_source=3000,
+)

@@ -32,7 +32,7 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"
 
 
-def clean(x: str, redact: bool = False, limit: int = V.CLEAN_MAX_CHARS) -> str:
+def clean(x: str, redact: bool = False, limit: int | None = None) -> str:
     """The entities that occur in the tables, then the cleaning steps."""
     out = f"coalesce({x}, '')"
     for entity, char in (
@@ -54,7 +54,7 @@ def clean(x: str, redact: bool = False, limit: int = V.CLEAN_MAX_CHARS) -> str:
     tail = SPACES.replace(r"\n", "")
     out = rf"regexp_replace({out}, '(?m)[{tail}]+$', '', 'g')"
     out = rf"regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-    return f"left({strip(out)}, {limit})"
+    return strip(out) if limit is None else f"left({strip(out)}, {limit})"
 
 
 ORACLES["clean_pages"] = f"SELECT page_id, {clean('html')} AS text FROM pages"
@@ -259,13 +259,13 @@ BUGZILLA_RECORDS = [
     scored("texts"),
     f"""records AS (
   SELECT 'eclipse-' || id AS defect_id, 'eclipse' AS source, product AS project, component,
-         {clean('title', limit=500)} AS title, {clean('description')} AS description,
+         {clean('title')} AS title, {clean('description')} AS description,
          {needles('bug_severity', V.SEVERITY_NEEDLES, 'unknown')} AS severity,
          {exact('trim(priority)', V.PRIORITY_NAMES)} AS priority,
          {needles('bug_status', V.STATUS_NEEDLES, 'unknown')} AS status,
          {needles('resolution', V.RESOLUTION_NEEDLES, 'unresolved')} AS resolution,
          CASE WHEN dup_id <> '' THEN 'eclipse-' || dup_id END AS duplicate_of,
-         {clean('note', limit=1000)} AS resolution_note,
+         {clean('note')} AS resolution_note,
          regexp_matches(texts.t, {quoted(TRACE)}) AS has_stack_trace,
          {LANGUAGE} AS language, '' AS keywords, reporter, '' AS assignee,
          creation_ts AS created_at, '' AS resolved_at,
@@ -314,13 +314,13 @@ SELECT defect_id, source, project, nullif(component, '') AS component, title, se
        priority, status, resolution, duplicate_of, has_stack_trace, language,
        replace(keywords, '|', ', ') AS keywords, url FROM records"""
 ORACLES["first_records"] = with_parts(*JIRA_RECORDS) + f"""
-SELECT defect_id, project FROM records ORDER BY defect_id LIMIT {V.REAL_BUILD_LIMIT}"""
+SELECT * FROM records ORDER BY defect_id LIMIT {V.PUBLISHED_CAPS.records_per_source}"""
 ORACLES["xml_export_scan"] = with_parts(
     f"raw AS ({BUGZILLA_ROWS})",
     "picked AS (SELECT *, trim(short_desc) AS title FROM raw WHERE trim(bug_id) <> '')",
 ) + f"""
 SELECT 'mozilla-' || bug_id AS defect_id, 'mozilla' AS source, component,
-       {clean('title', limit=500)} AS title, '' AS description,
+       {clean('title')} AS title, '' AS description,
        {needles('bug_severity', V.SEVERITY_NEEDLES, 'unknown')} AS severity,
        {exact('trim(priority)', V.PRIORITY_NAMES)} AS priority,
        {needles('bug_status', V.STATUS_NEEDLES, 'unknown')} AS status,
@@ -478,7 +478,7 @@ FROM closed LEFT JOIN (SELECT submission_id, b, string_agg(frame, ';' ORDER BY n
   ON f.submission_id = closed.submission_id AND f.b = closed.b
 GROUP BY closed.submission_id, closed.b, exception_type, message
 UNION ALL
-SELECT submission_id, b - 1, exception_type, message, false, '' FROM bare WHERE b <= 3"""
+SELECT submission_id, b - 1, exception_type, message, false, '' FROM bare"""
 
 JS_FRAME = r"^\s*at\s+(?:([^()]+?)\s+\()?([^()]+?):(\d+):\d+\)?\s*$"
 ORACLES["script_chains"] = with_parts(
@@ -492,7 +492,7 @@ ORACLES["script_chains"] = with_parts(
     """heads AS (
   SELECT submission_id, n, trim(line) AS line,
          row_number() OVER (PARTITION BY submission_id ORDER BY n) AS h
-  FROM marked WHERE is_head QUALIFY h <= 3
+  FROM marked WHERE is_head
 )""",
     f"""frames AS (
   SELECT submission_id, n, n - row_number() OVER (PARTITION BY submission_id ORDER BY n) AS run,
@@ -563,9 +563,7 @@ FROM timed WHERE {condition} GROUP BY w, level"""
 
 
 ORACLES["level_windows"] = _windows("true")
-ORACLES["stream_level_windows"] = _windows(
-    "w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
-)
+ORACLES["stream_level_windows"] = ORACLES["level_windows"]
 
 
 # ---------------------------------------------------------------------------
@@ -649,7 +647,7 @@ REPORT_FIELDS = [
     r"""summaries AS (
   SELECT submission_id, CASE WHEN regexp_matches(t, '(?m)^\s*#{1,4}\s+(.+)$')
     THEN trim(regexp_extract(t, '(?m)^\s*#{1,4}\s+(.+)$', 1))
-    ELSE left(trim(split_part(t, chr(10), 1)), 200) END AS value
+    ELSE trim(split_part(t, chr(10), 1)) END AS value
   FROM subs WHERE submission_id NOT IN
     (SELECT submission_id FROM fields WHERE field = 'summary')
 )""",
@@ -663,7 +661,7 @@ ORACLES["submission_titles"] = with_parts(*REPORT_FIELDS) + """
 SELECT submission_id, value AS title FROM all_fields WHERE field = 'summary'"""
 ORACLES["first_lines"] = rf"""
 SELECT conv_id || '-' || turn AS submission_id,
-       left({strip(rf"regexp_extract(text, '[^{SPACES}][^\n]*')")}, 200) AS title
+       {strip(rf"regexp_extract(text, '[^{SPACES}][^\n]*')")} AS title
 FROM conversations"""
 ORACLES["report_signals"] = with_parts(orders_as(REPORT_TEXT)) + r"""
 SELECT submission_id, array_to_string(list_concat(
@@ -671,8 +669,8 @@ SELECT submission_id, array_to_string(list_concat(
     regexp_extract_all(t, '\b[\w./-]+\.(?:java|py)\b')), '|') AS signals
 FROM subs"""
 
-# Signals of the composed traces, by their parts: types with up to three frames, then the
-# first five file names, each once.
+# Signals of the composed traces, by their parts: types with their frames, then the file
+# names, each once.
 JAVA_SIGNALS = [
     *java_parts(JAVA_TEXT),
     """ordered AS (
@@ -680,7 +678,6 @@ JAVA_SIGNALS = [
   UNION ALL
   SELECT submission_id, h, row_number() OVER (PARTITION BY submission_id, h ORDER BY n),
          module || '.' || function FROM frames
-  QUALIFY row_number() OVER (PARTITION BY submission_id, h ORDER BY n) <= 3
   UNION ALL
   SELECT submission_id, 1000, n, file FROM frames WHERE file IS NOT NULL
 )""",
@@ -694,13 +691,11 @@ JAVA_SIGNALS = [
 )""",
 ]
 ORACLES["key_signals"] = with_parts(*JAVA_SIGNALS) + """
-SELECT submission_id, position, signal FROM signals WHERE position < 20"""
+SELECT submission_id, position, signal FROM signals"""
 JAVA_NORMALIZED = [
     *JAVA_SIGNALS,
     """paths AS (
-  SELECT submission_id, h, string_agg(function, ' -> ' ORDER BY n) AS path FROM (
-    SELECT * FROM frames
-    QUALIFY row_number() OVER (PARTITION BY submission_id, h ORDER BY n) <= 3)
+  SELECT submission_id, h, string_agg(function, ' -> ' ORDER BY n) AS path FROM frames
   GROUP BY submission_id, h
 )""",
     """chain AS (
@@ -926,9 +921,28 @@ SELECT doc_id, count(x) AS nonzero, coalesce(round(sum(abs(x)), 3), 0) AS total,
 FROM documents LEFT JOIN unit ON doc_id = key GROUP BY doc_id"""
 
 
-def searched(queries: str, k: int, condition: str = "true") -> list[str]:
-    """CTEs from ``queries`` SQL of (key, body) to ``hits`` over the document chunks."""
+def questions(texts: str) -> list[str]:
+    """CTEs from SQL of (key, body) to ``q_asked(key, body)``: pieces of the cleaned texts."""
+    cut = [
+        part.replace("bodies", "q_bodies").replace("windows", "q_windows")
+        .replace("cut AS", "q_cut AS").replace("FROM cut", "FROM q_cut")
+        .replace("pieces AS", "q_pieces AS")
+        for part in chunk_parts("q_given", V.CHUNK_SIZE, V.CHUNK_OVERLAP)
+    ]
     return [
+        f"q_given AS (SELECT key, {clean('body')} AS body FROM ({texts}))",
+        *cut,
+        "q_asked AS (SELECT key || '::question' || chunk_index AS key, text AS body FROM q_pieces)",
+    ]
+
+
+def searched(queries: str, k: int, condition: str = "true", before=()) -> list[str]:
+    """CTEs from ``queries`` SQL of (key, body) to ``hits`` over the document chunks.
+
+    Keys that differ by the number of their question alone are one query.
+    """
+    return [
+        *before,
         *DOCUMENT_CHUNKS,
         f"asked AS ({queries})",
         f"""texts AS (
@@ -937,7 +951,8 @@ def searched(queries: str, k: int, condition: str = "true") -> list[str]:
 )""",
         *vector_parts("texts"),
         """pairs AS (
-  SELECT q.key AS query_id, c.key AS chunk_id, any_value(defect_id) AS defect_id,
+  SELECT regexp_replace(q.key, '::question[0-9]+$', '') AS query_id, c.key AS chunk_id,
+         any_value(defect_id) AS defect_id,
          round(sum(q.x * c.x), 4) AS score
   FROM unit q JOIN unit c ON q.side = 'q' AND c.side = 'c' AND q.j = c.j
   JOIN chunks ON chunks.chunk_id = c.key GROUP BY q.key, c.key
@@ -954,27 +969,30 @@ def searched(queries: str, k: int, condition: str = "true") -> list[str]:
 
 
 BENCHMARK = "SELECT item_id AS key, text AS body FROM benchmark"
-# None of these texts holds traces or labels: the text for retrieval is the first line.
-_FIRST = strip(rf"regexp_extract(text, '[^{SPACES}][^\n]*')")
-BENCHMARK_LINES = f"SELECT item_id AS key, left({_FIRST}, 200) AS body FROM benchmark"
-CONVERSATIONS = f"SELECT conv_id || '-' || turn AS key, left({_FIRST}, 200) AS body FROM conversations"
+ASKED = "SELECT * FROM q_asked"
+BENCHMARK_QUESTIONS = questions(BENCHMARK)
+CONVERSATION_QUESTIONS = questions(
+    "SELECT conv_id || '-' || turn AS key, text AS body FROM conversations"
+)
 ORACLES["text_search"] = with_parts(*searched(BENCHMARK, 5), recursive=True) + """
 SELECT CAST(query_id AS BIGINT) AS query_id, rank, defect_id, chunk_id, score,
        title, resolution, resolution IN ('fixed', 'done') AS is_resolved_fixed FROM hits"""
-ORACLES["submission_search"] = with_parts(*searched(CONVERSATIONS, 3), recursive=True) + """
+ORACLES["submission_search"] = with_parts(
+    *searched(ASKED, 3, before=CONVERSATION_QUESTIONS), recursive=True
+) + """
 SELECT query_id AS submission_id, rank, defect_id, score, severity FROM hits"""
 ORACLES["fix_notes"] = with_parts(
-    *searched(BENCHMARK_LINES, 3, "resolution = 'fixed'"), recursive=True
+    *searched(ASKED, 3, "resolution = 'fixed'", BENCHMARK_QUESTIONS), recursive=True
 ) + """
 SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, score,
        resolution, resolution_note FROM hits"""
 ORACLES["stream_submission_matches"] = with_parts(
-    *searched(BENCHMARK_LINES, 5), recursive=True
+    *searched(ASKED, 5, before=BENCHMARK_QUESTIONS), recursive=True
 ) + """
 SELECT CAST(query_id AS BIGINT) AS submission_id, rank, defect_id, score,
        score >= 0.45 AS is_duplicate FROM hits"""
 ORACLES["triage_routes"] = with_parts(
-    *searched(CONVERSATIONS, 3),
+    *searched(ASKED, 3, before=CONVERSATION_QUESTIONS),
     "subs AS (SELECT conv_id || '-' || turn AS submission_id, text AS t FROM conversations)",
     *typed(),
     f"""triaged AS (
@@ -996,3 +1014,12 @@ SELECT t.submission_id, artifact_type, severity, is_actionable,
        CASE WHEN NOT is_actionable THEN 'reject'
             WHEN coalesce(n_duplicates, 0) > 0 THEN 'report' ELSE 'root_cause' END AS route
 FROM triaged t LEFT JOIN summary s ON t.submission_id = s.submission_id"""
+
+ORACLES["clean_pages_capped"] = f"SELECT page_id, {clean('html', limit=20000)} AS text FROM pages"
+ORACLES["csv_mixed_headers"] = ORACLES["jira_records"]
+ORACLES["kb_append_versions"] = """
+SELECT 'doc-' || doc_id AS defect_id, 1 AS versions, true AS whole, true AS single FROM documents"""
+# The composed traces have at most two frames for each head and fewer than twenty signals.
+ORACLES["normalized_texts_capped"] = ORACLES["normalized_texts"].replace(
+    "normalized_text FROM normalized", "left(normalized_text, 4000) AS normalized_text FROM normalized"
+)

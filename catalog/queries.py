@@ -17,13 +17,21 @@ from bugloom.plans.analyze import analyze
 from bugloom.plans.build import build_kb
 from bugloom.schema import RECORD_COLUMNS, combined_text, to_metadata, to_records
 from bugloom.session import shared_folder, spread, staged, unnest
-from bugloom.sources.knowledge_base import append_chunks, read_kb
+from bugloom.sources.knowledge_base import append_chunks, append_records, read_kb
 from bugloom.sources.load import load_source
 from bugloom.sources.tracker_csv import POSITION
-from bugloom.streaming.jobs import level_counts_by_window, maintain_kb, match_submissions
+from bugloom.streaming.jobs import (
+    keep_level_counts,
+    level_counts_by_window,
+    maintain_kb,
+    match_submissions,
+    read_level_counts,
+    read_matches,
+)
 from catalog import compose
 
 DUPLICATE_LEVEL = 0.45
+LINK_BITS, LINK_PROBES = 6, 3
 SWEEP_LEVELS = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
@@ -129,6 +137,11 @@ def clean_pages(spark, sf_dir):
     )
 
 
+def clean_pages_capped(spark, sf_dir):
+    text = clean_text(F.col("html"), max_chars=V.PUBLISHED_CAPS.clean_chars)
+    return table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+
+
 def redact_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
         "page_id", clean_text(F.concat_ws(" ", "url", "html"), redact=True).alias("text")
@@ -218,8 +231,10 @@ def first_records(spark, sf_dir):
     rows = view(spark, sf_dir, compose.JIRA_ROWS, "orders").withColumn(
         POSITION, F.col("key")
     )
-    kept = normalize.normalize_jira(normalize.keep_defect_types(rows), "apache")
-    return normalize.first_records(kept, V.REAL_BUILD_LIMIT).select("defect_id", "project")
+    limit = V.PUBLISHED_CAPS.records_per_source
+    defects = normalize.keep_defect_types(rows)
+    kept = normalize.first_rows(defects, limit, normalize.has_id(defects, V.JIRA_ALIASES))
+    return _plain(to_records(normalize.normalize_jira(kept, "apache")))
 
 
 def csv_export_scan(spark, sf_dir):
@@ -230,6 +245,18 @@ def csv_export_scan(spark, sf_dir):
     return _plain(load_source(spark, "apache", path))
 
 
+def csv_mixed_headers(spark, sf_dir):
+    """The same export in three files: by name, in reverse order and other case, compressed."""
+    rows = view(spark, sf_dir, compose.JIRA_ROWS, "orders")
+    path, part = scratch(spark, "export"), F.pmod(F.xxhash64("key"), F.lit(3))
+    options = {"header": True, "escape": '"', "emptyValue": ""}
+    backwards = rows.filter(part == 1).select(*[f"`{c}`" for c in reversed(rows.columns)])
+    rows.filter(part == 0).write.csv(path, **options)
+    backwards.toDF(*[f" {c.upper()}" for c in backwards.columns]).write.mode("append").csv(path, **options)
+    rows.filter(part == 2).write.mode("append").csv(path, compression="gzip", **options)
+    return _plain(load_source(spark, "apache", path))
+
+
 _XML_COLUMNS = {
     "short_desc": "short_desc", "severity": "bug_severity", "priority": "priority",
     "bug_status": "bug_status", "resolution": "resolution", "component": "component",
@@ -303,6 +330,19 @@ def kb_append(spark, sf_dir):
     return stats.load_totals(read_kb(spark, path))
 
 
+def kb_append_versions(spark, sf_dir):
+    """Two versions of every document in one batch, and another one later: one is stored."""
+    records, path = document_records(spark, sf_dir), scratch(spark, "kb")
+    doubled = records.withColumn("description", F.concat_ws("\n", "description", "description"))
+    append_records(records.unionByName(doubled), path)
+    append_records(records.withColumn("description", F.upper("description")), path)
+    return read_kb(spark, path).groupBy("defect_id").agg(
+        F.countDistinct("n_chunks").alias("versions"),
+        (F.count("*") == F.max("n_chunks")).alias("whole"),
+        F.countDistinct("chunk_index").alias("distinct_chunks") == F.count("*"),
+    ).toDF("defect_id", "versions", "whole", "single")
+
+
 def kb_build(spark, sf_dir):
     """The build job over a CSV export of the tracker rows."""
     rows = view(spark, sf_dir, compose.BUGZILLA_ROWS, "orders", "customer")
@@ -447,6 +487,14 @@ def parsed_submissions(spark, sf_dir):
     return big(parsed, "n_exceptions", "char_count", "line_count")
 
 
+def normalized_texts_capped(spark, sf_dir):
+    """The same under the published caps, given explicitly."""
+    parsed = parse.parse_submissions(
+        order_submissions(compose.JAVA_TEXT)(spark, sf_dir), V.PUBLISHED_CAPS
+    )
+    return parsed.select("submission_id", "normalized_text")
+
+
 def submission_records(spark, sf_dir):
     records = parse.submission_records(_parsed(compose.JAVA_TEXT, spark, sf_dir))
     return _plain(records).select(
@@ -556,6 +604,28 @@ def threshold_sweep(spark, sf_dir):
     return evaluate.threshold_sweep(hits, truth, SWEEP_LEVELS)
 
 
+def _linked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Nearest other defects, by buckets, of the records with a duplicate link, and the links."""
+    records = bugzilla(spark, sf_dir)
+    truth = evaluate.duplicate_truth(records)
+    texts = records.select("defect_id", F.col("defect_id").alias("chunk_id"), combined_text().alias("text"))
+    stored = scratch(spark, "linked")
+    search.with_buckets(embed.embed_text(texts, "text"), LINK_BITS).write.parquet(stored)
+    kb = spark.read.parquet(stored)
+    asked = kb.join(truth.select(F.col("query_id").alias("defect_id")).distinct(), "defect_id", "left_semi")
+    queries = asked.select(F.col("defect_id").alias("query_id"), "embedding", F.col("defect_id").alias("exclude_id"))
+    return search.top_defects(queries, kb, bits=LINK_BITS, probes=LINK_PROBES), truth
+
+
+def recall_over_links(spark, sf_dir):
+    """How often a record's link is among its nearest defects."""
+    return big(evaluate.recall_at_k(*_linked(spark, sf_dir)), "k")
+
+
+def sweep_over_links(spark, sf_dir):
+    return evaluate.threshold_sweep(*_linked(spark, sf_dir), SWEEP_LEVELS)
+
+
 def fix_notes(spark, sf_dir):
     texts = _benchmark_queries(spark, sf_dir).select(
         F.col("query_id").alias("submission_id"),
@@ -619,16 +689,12 @@ def _stream(spark, sf_dir, name: str) -> DataFrame:
 
 
 def stream_level_windows(spark, sf_dir):
-    """Closed windows of the event stream, as an append sink receives them."""
+    """All windows of the event stream, the open ones included, by a stored update stream."""
     path = scratch(spark, "levels")
-    counts = level_counts_by_window(_event_lines(_stream(spark, sf_dir, "events")), "ts")
-    query = (
-        counts.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", path + "-state").option("path", path)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return _window_text(spark.read.schema(counts.schema).parquet(path))
+    lines = _event_lines(_stream(spark, sf_dir, "events"))
+    counts = level_counts_by_window(lines, "ts", late="10 minutes")
+    keep_level_counts(counts, path, path + "-state", once=True).awaitTermination()
+    return _window_text(read_level_counts(spark, path))
 
 
 def stream_submission_matches(spark, sf_dir):
@@ -643,8 +709,7 @@ def stream_submission_matches(spark, sf_dir):
     match_submissions(
         arriving, kb_path, out, out + "-state", threshold=DUPLICATE_LEVEL, once=True
     ).awaitTermination()
-    found = spark.read.option("recursiveFileLookup", True).parquet(out)
-    return _hits(found).select(
+    return _hits(read_matches(spark, out)).select(
         "submission_id", "rank", "defect_id", "score",
         "is_duplicate",
     )
@@ -665,7 +730,8 @@ def stream_kb(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_pages, redact_pages, redact_documents, split_documents,
+        clean_pages, clean_pages_capped, kb_append_versions, csv_mixed_headers,
+        normalized_texts_capped, recall_over_links, sweep_over_links, redact_pages, redact_documents, split_documents,
         split_documents_wide_overlap, chunk_documents, language_of_texts, severity_guesses,
         bugzilla_records, jira_records, combined_texts, metadata_rows, first_records,
         csv_export_scan, xml_export_scan, kb_totals, kb_breakdown, kb_breakdown_per_defect,
