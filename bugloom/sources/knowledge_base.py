@@ -1,9 +1,11 @@
 """The knowledge base: a Parquet table of embedded chunks, partitioned by source."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bugloom import vocabulary as V
+from bugloom.operators.chunk import chunk_defects
 from bugloom.operators.embed import Embedder, embed_text
 from bugloom.schema import CHUNK_COLUMNS
 from bugloom.session import staged
@@ -18,10 +20,6 @@ _TYPES = {
 }
 SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in COLUMNS])
 
-# New ids up to this number of rows are broadcast (some 10 MB) to probe the stored ids.
-BROADCAST_IDS = 100_000
-
-
 def read_kb(spark: SparkSession, path: str) -> DataFrame:
     """All chunks; an absent table is empty. Unread columns are never scanned."""
     if path_kind(spark, path) is None:
@@ -33,36 +31,67 @@ def count_chunks(spark: SparkSession, path: str) -> int:
     return read_kb(spark, path).count()
 
 
-def one_per_id(chunks: DataFrame) -> DataFrame:
-    """One row per chunk id, the least of its rows. The partial step folds hot ids early."""
-    keys = ["source", "chunk_id"]
-    rest = [c for c in chunks.columns if c not in keys]
-    return chunks.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+_DEFECT = ["source", "defect_id"]
+_UID = "_uid"
 
 
-def absent_chunks(chunks: DataFrame, stored: DataFrame) -> DataFrame:
-    """Chunks whose id is not stored yet; ``chunks`` should be a stored table itself.
+def _skipped(batch: DataFrame, stored: DataFrame, version: Column, *inside: str) -> DataFrame:
+    """Numbers of the batch's rows that are not to be inserted, from narrow columns alone.
 
-    A small batch probes the stored ids by broadcast, so that appending to a large table
-    scans its id column once and shuffles only the hits. A large batch joins by shuffle.
+    A defect that is stored stays as it is. Of a defect's versions in the batch, the one with
+    the least hash is taken, and of repeated rows of it the first.
     """
-    keys = ["source", "chunk_id"]
-    ids, known = chunks.select(*keys), stored.select(*keys)
-    if ids.count() <= BROADCAST_IDS:
-        known = known.join(F.broadcast(ids.distinct()), keys, "left_semi")
-    return one_per_id(chunks).join(known, keys, "left_anti").select(*chunks.columns)
+    rows = batch.select(*_DEFECT, *inside, _UID, version.alias("_version"))
+    known = stored.select(*_DEFECT).distinct()
+    least = rows.groupBy(*_DEFECT).agg(F.min("_version").alias("_version"))
+    chosen = rows.join(least, [*_DEFECT, "_version"]).join(known, _DEFECT, "left_anti")
+    taken = chosen.groupBy(*_DEFECT, *inside).agg(F.min(_UID).alias(_UID)).select(_UID)
+    return rows.select(_UID).join(taken, _UID, "left_anti")
+
+
+def _new_rows(batch: DataFrame, stored: DataFrame, version: Column, *inside: str) -> DataFrame:
+    """The batch without skipped rows: texts are shuffled only if many rows are skipped."""
+    return batch.join(_skipped(batch, stored, version, *inside), _UID, "left_anti").drop(_UID)
 
 
 def _write(chunks: DataFrame, path: str, mode: str) -> None:
-    """Cluster the files by source without giving one source to one task."""
-    chunks.select(*COLUMNS).write.mode(mode).partitionBy("source").parquet(path)
+    """Few files per source, and no task with a whole large source."""
+    rows = chunks.select(*COLUMNS).hint("rebalance", "source")
+    rows.write.mode(mode).partitionBy("source").parquet(path)
+
+
+def append_records(
+    records: DataFrame,
+    path: str,
+    embedder: Embedder | None = None,
+    size: int = V.CHUNK_SIZE,
+    overlap: int = V.CHUNK_OVERLAP,
+) -> None:
+    """Chunk, embed and insert the records whose defect is absent, one version of each.
+
+    Repeating the call adds nothing.
+    """
+    numbered = records.withColumn(_UID, F.monotonically_increasing_id())
+    with staged(numbered, "records") as batch:
+        stored = read_kb(records.sparkSession, path)
+        new = _new_rows(batch, stored, F.xxhash64(*records.columns))
+        chunks = chunk_defects(new, size, overlap)
+        _write(embed_text(chunks, "text", "embedding", embedder), path, "append")
 
 
 def append_chunks(chunks: DataFrame, path: str, embedder: Embedder | None = None) -> None:
-    """Embed and insert the chunks whose id is absent. Repeating the call adds nothing."""
-    with staged(chunks, "chunks") as batch:
-        absent = absent_chunks(batch, read_kb(chunks.sparkSession, path))
-        _write(embed_text(absent, "text", "embedding", embedder), path, "append")
+    """Embed and insert the chunks of absent defects. Repeating the call adds nothing.
+
+    A defect's chunks come whole: those of one version, which agree on all but the text, its
+    number and its id. ``append_records`` chooses among versions that differ by text alone.
+    """
+    apart = {"chunk_id", "chunk_index", "text"}
+    version = F.xxhash64(*[c for c in chunks.columns if c not in apart])
+    numbered = chunks.withColumn(_UID, F.monotonically_increasing_id())
+    with staged(numbered, "chunks") as batch:
+        stored = read_kb(chunks.sparkSession, path)
+        new = _new_rows(batch, stored, version, "chunk_id")
+        _write(embed_text(new, "text", "embedding", embedder), path, "append")
 
 
 def reset_kb(spark: SparkSession, path: str) -> None:

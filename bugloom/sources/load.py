@@ -1,12 +1,13 @@
 """Load one or several sources as defect records."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bugloom import vocabulary as V
 from bugloom.operators import normalize as N
 from bugloom.schema import RECORD_COLUMNS, to_records
 from bugloom.session import spread
-from bugloom.sources.tracker_csv import POSITION, read_export
+from bugloom.sources.tracker_csv import read_export
 from bugloom.sources.tracker_xml import read_defects
 
 
@@ -26,31 +27,37 @@ def load_source(
     path: str,
     limit: int | None = None,
     keep_only_bugs: bool = True,
+    caps: V.Caps = V.NO_CAPS,
 ) -> DataFrame:
     """Records of one source: a CSV export, or a folder of XML products.
 
-    A folder that holds CSV files is read as one export in several files.
+    A folder is told by what it holds: products with ``reports.xml``, or CSV files, compressed
+    or not, which are read as one export. A folder with neither is an error.
     """
     kind = path_kind(spark, path)
     if kind is None:
         raise FileNotFoundError(f"no export of {source} at {path}")
-    if kind == "dir" and not _holds_csv(spark, path):
-        records = N.normalize_xml_defects(read_defects(spark, path), source)
-    else:
-        # A multi-line file is one split: spread its rows before the costly steps.
-        rows = spread(read_export(spark, path))
-        if source == "apache":
-            rows = N.keep_defect_types(rows) if keep_only_bugs else rows
-            records = N.normalize_jira(rows, source)
-        else:
-            records = N.normalize_bugzilla(rows, source)
-    return to_records(N.first_records(records, limit))
+    if kind == "dir" and _holds(spark, path, "*/reports.xml"):
+        defects = N.in_product_order(read_defects(spark, path))
+        kept = N.first_rows(defects, limit, F.col("short_desc") != "")
+        return to_records(N.normalize_xml_defects(kept, source, caps))
+    if kind == "dir" and not _holds(spark, path, "*.csv*"):
+        raise ValueError(f"neither CSV files nor products with reports.xml at {path}")
+    # A multi-line file is one split: spread its rows before the costly steps.
+    rows = spread(read_export(spark, path))
+    if source == "apache":
+        rows = N.keep_defect_types(rows) if keep_only_bugs else rows
+        rows = N.first_rows(rows, limit, N.has_id(rows, V.JIRA_ALIASES))
+        return to_records(N.normalize_jira(rows, source, caps))
+    rows = N.first_rows(rows, limit, N.has_id(rows, V.BUGZILLA_ALIASES))
+    return to_records(N.normalize_bugzilla(rows, source, caps))
 
 
-def _holds_csv(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path, "*.csv")
+def _holds(spark: SparkSession, path: str, pattern: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path, pattern)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return len(fs.globStatus(target)) > 0
+    found = fs.globStatus(target)
+    return found is not None and len(found) > 0
 
 
 def load_all(

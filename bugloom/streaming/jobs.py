@@ -1,18 +1,19 @@
 """Streaming forms of submission matching, knowledge-base upkeep and log counts."""
 
 from collections.abc import Callable
+from hashlib import sha1
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bugloom import vocabulary as V
-from bugloom.operators.chunk import chunk_defects
 from bugloom.operators.embed import Embedder
 from bugloom.operators.parse import log_lines, parse_submissions
 from bugloom.operators.search import flag_duplicates, search_submissions
-from bugloom.session import spread
-from bugloom.sources.knowledge_base import append_chunks, read_kb
+from bugloom.session import spread, staged
+from bugloom.sources.knowledge_base import append_records, read_kb
+from bugloom.sources.load import _holds, path_kind
 
 
 def _run(
@@ -22,6 +23,12 @@ def _run(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _batch_folder(out_path: str, checkpoint: str, batch_id: int) -> str:
+    """A folder for one micro-batch of one checkpoint; another checkpoint has others."""
+    run = sha1(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    return f"{out_path}/run={run}/batch={batch_id}"
+
+
 def match_submissions(
     stream: DataFrame,
     kb_path: str,
@@ -32,22 +39,39 @@ def match_submissions(
     embedder: Embedder | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Rank similar defects for every arriving submission.
+    """Rank similar defects for every arriving submission, once per submission id.
 
-    Each micro-batch overwrites its own folder, so that a batch repeated after a failure
-    leaves its findings once. The knowledge base is read anew per batch.
+    Each micro-batch overwrites its own folder, named by checkpoint and number, so a batch
+    repeated after a failure leaves its findings once, and a new checkpoint on the same output
+    replaces nothing. A submission already in another folder is not matched again. The
+    knowledge base is read anew per batch.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        kb = read_kb(batch.sparkSession, kb_path)
-        parsed = parse_submissions(spread(batch))
-        hits = search_submissions(parsed, kb, k, embedder=embedder)
-        flagged = flag_duplicates(hits, threshold)
-        flagged.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        own = _batch_folder(out_path, checkpoint, batch_id)
+        fresh = batch.dropDuplicates(["submission_id"])
+        if path_kind(spark, out_path) is not None:
+            done = read_matches(spark, out_path)
+            if done is not None:
+                place = own.rpartition("run=")[2]
+                others = done.filter(~F.col("_metadata.file_path").contains(f"{place}/"))
+                ids = others.select("submission_id").distinct()
+                fresh = fresh.join(ids, "submission_id", "left_anti")
+        with staged(parse_submissions(spread(fresh)), "arrived") as parsed:
+            hits = search_submissions(parsed, read_kb(spark, kb_path), k, embedder=embedder)
+            flag_duplicates(hits, threshold).write.mode("overwrite").parquet(own)
 
     return _run(stream, step, checkpoint, once)
 
 
+def read_matches(spark: SparkSession, out_path: str) -> DataFrame | None:
+    """Findings of all micro-batches; None before the first one with any."""
+    if not _holds(spark, out_path, "run=*/batch=*/_SUCCESS"):
+        return None
+    return spark.read.parquet(f"{out_path}/run=*/batch=*")
+
+
 def maintain_kb(
     stream: DataFrame,
     kb_path: str,
@@ -57,22 +81,24 @@ def maintain_kb(
     overlap: int = V.CHUNK_OVERLAP,
     once: bool = False,
 ) -> StreamingQuery:
-    """Insert the chunks of arriving records; a repeated batch finds its ids present."""
+    """Insert arriving records whose defect is absent; a repeated batch finds its ids present."""
 
     def step(batch: DataFrame, _: int) -> None:
-        append_chunks(chunk_defects(spread(batch), size, overlap), kb_path, embedder)
+        append_records(spread(batch), kb_path, embedder, size, overlap)
 
     return _run(stream, step, checkpoint, once)
 
 
 def level_counts_by_window(
-    lines: DataFrame, time_col: str, width: str = "1 hour", late: str = "10 minutes"
+    lines: DataFrame, time_col: str, width: str = "1 hour", late: str | None = None
 ) -> DataFrame:
     """Log entries per time window and level, for a table or a stream of log lines.
 
-    On a stream, windows close once the watermark passes them. The time column must be a
-    timestamp with time zone.
+    A stream needs ``late``, the time after which an entry no longer counts. The time column
+    must be a timestamp with time zone.
     """
+    if lines.isStreaming and late is None:
+        raise ValueError("a stream of log lines needs the time after which entries are late")
     timed = lines.withWatermark(time_col, late) if lines.isStreaming else lines
     entries = log_lines(timed)
     return (
@@ -83,3 +109,26 @@ def level_counts_by_window(
             "level", "n",
         )
     )
+
+
+def keep_level_counts(
+    counts: DataFrame, out_path: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Store a stream's counts as they change, open windows included.
+
+    Every micro-batch overwrites its own folder with the windows it changed; the largest count
+    of a window and level is the latest, as counts only grow.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_batch_folder(out_path, checkpoint, batch_id))
+
+    writer = counts.writeStream.foreachBatch(step).outputMode("update")
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def read_level_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The latest count of every window and level, by one checkpoint's batches."""
+    stored = spark.read.parquet(f"{out_path}/run=*/batch=*")
+    return stored.groupBy("window_start", "window_end", "level").agg(F.max("n").alias("n"))
