@@ -5,9 +5,21 @@ from bugloom.operators import chunk, parse, patterns, stats, triage
 from bugloom.plans.analyze import analyze
 from bugloom.plans.build import build_kb, build_real_kb
 from bugloom.schema import combined_text, to_metadata, to_records
-from bugloom.sources.knowledge_base import append_chunks, count_chunks, read_kb, reset_kb
-from bugloom.streaming.jobs import level_counts_by_window, maintain_kb, match_submissions
-from tests import brute
+from bugloom.sources.knowledge_base import (
+    append_chunks,
+    append_records,
+    count_chunks,
+    read_kb,
+    reset_kb,
+)
+from bugloom.streaming.jobs import (
+    keep_level_counts,
+    level_counts_by_window,
+    maintain_kb,
+    match_submissions,
+    read_level_counts,
+    read_matches,
+)
 from tests.test_sources import BUGZILLA, JIRA
 
 
@@ -29,9 +41,12 @@ def test_chunks_of_records(spark):
     for row in chunk.chunk_defects(_records(spark, ROWS)).collect():
         rows.setdefault(row.defect_id, []).append(row)
     text = "[apache] Cart fails\nCart fails\n" + ROWS[0][3] + "\nResolution: Reload it\nComponent: Cart"
-    want = brute.pieces(brute.clean(text), 800, 120)
     got = sorted(rows["apache-1"], key=lambda r: r.chunk_index)
-    assert [r.text for r in got] == want and {r.n_chunks for r in got} == {len(want)}
+    assert [r.chunk_index for r in got] == list(range(len(got))) and {r.n_chunks for r in got} == {len(got)}
+    assert got[0].text.startswith("[apache] Cart fails\nCart fails\nword word") and len(got) == 3
+    assert got[-1].text.endswith("word\n\nResolution: Reload it\nComponent: Cart") or got[-1].text.endswith(
+        "word\nResolution: Reload it\nComponent: Cart")
+    assert all(len(r.text) <= 800 and r.text in text.replace(" \n", "\n") for r in got)
     assert got[1].chunk_id == "apache-1::chunk1" and got[1].component == "Cart"
     assert rows["apache-2"][0].component is None and rows["apache-2"][0].resolution == "unknown"
     assert rows["eclipse-3"][0].text == "[eclipse]"
@@ -44,7 +59,32 @@ def test_combined_text_and_metadata(spark):
     assert len(row) == 14 and row.has_stack_trace is False and row.keywords is None
 
 
-def test_append_inserts_only_absent_ids(spark, tmp_path, monkeypatch):
+def _chunk_sets(spark, path):
+    found = {}
+    for r in read_kb(spark, path).collect():
+        found.setdefault((r.source, r.defect_id), []).append(r)
+    return found
+
+
+def test_append_takes_one_version_of_a_record(spark, tmp_path):
+    long, short = "long words " * 400, "short words " * 150
+    versions = [("x-1", "apache", "A", long, "", "", "major"), ("x-1", "apache", "A", short, "", "", "major"),
+                ("x-1", "mozilla", "M", short, "", "", "major"), ("y-2", "apache", "Y", short, "", "", "minor")]
+    path = str(tmp_path / "kb")
+    append_records(_records(spark, versions[:3] + versions[1:2]), path)
+    first = _chunk_sets(spark, path)
+    append_records(_records(spark, [versions[1], versions[0], versions[3]]), path)
+    append_chunks(chunk.chunk_defects(_records(spark, versions)), path)
+    found = _chunk_sets(spark, path)
+    assert set(found) == {("apache", "x-1"), ("mozilla", "x-1"), ("apache", "y-2")}
+    for key, rows in found.items():
+        assert {r.n_chunks for r in rows} == {len(rows)}
+        assert sorted(r.chunk_index for r in rows) == list(range(len(rows)))
+        assert len({("long" in r.text, "short" in r.text) for r in rows}) == 1
+    assert all(len(found[k]) == len(first[k]) for k in first)
+
+
+def test_append_inserts_only_absent_ids(spark, tmp_path):
     path = str(tmp_path / "kb")
     chunks = chunk.chunk_defects(_records(spark, ROWS))
     assert count_chunks(spark, path) == 0
@@ -52,7 +92,6 @@ def test_append_inserts_only_absent_ids(spark, tmp_path, monkeypatch):
     before = count_chunks(spark, path)
     append_chunks(chunks.unionByName(chunks), path)
     assert count_chunks(spark, path) == before + 1
-    monkeypatch.setattr("bugloom.sources.knowledge_base.BROADCAST_IDS", 0)
     append_chunks(chunks, path)
     append_chunks(chunks.limit(0), path)
     assert count_chunks(spark, path) == before + 1
@@ -166,8 +205,31 @@ def test_streams(spark, tmp_path):
     match_submissions(
         stream_submissions(spark, str(inbox)), kb, out, str(tmp_path / "s3"), once=True
     ).awaitTermination()
-    hits = spark.read.option("recursiveFileLookup", True).parquet(out)
-    assert {r.submission_id.split("/")[-1] for r in hits.collect()} == {"a.txt", "b.txt"}
+    hits = read_matches(spark, out).collect()
+    assert {r.submission_id.split("/")[-1] for r in hits} == {"a.txt", "b.txt"}
+    # A new checkpoint on the same output replaces and repeats nothing.
+    match_submissions(
+        stream_submissions(spark, str(inbox)), kb, out, str(tmp_path / "s4"), once=True
+    ).awaitTermination()
+    assert sorted(map(str, read_matches(spark, out).collect())) == sorted(map(str, hits))
+
+
+def test_level_windows_of_a_stream_hold_the_open_ones(spark, tmp_path):
+    lines = spark.sql(
+        "SELECT timestamp'2024-01-01 10:05:00' + make_interval(0,0,0,0,0,id*40) AS ts,"
+        " '[x] WARN again' AS line FROM range(5)"
+    )
+    for part in (0, 1):
+        lines.filter(F.minute("ts") % 2 == part).write.mode("append").parquet(str(tmp_path / "lines"))
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(
+            str(tmp_path / "lines"))
+        with pytest.raises(ValueError):
+            level_counts_by_window(stream, "ts")
+        counts = level_counts_by_window(stream, "ts", late="1 day")
+        keep_level_counts(counts, str(tmp_path / "out"), str(tmp_path / "s"), once=True).awaitTermination()
+    got = read_level_counts(spark, str(tmp_path / "out")).select("window_start", "level", "n")
+    want = level_counts_by_window(lines, "ts").select("window_start", "level", "n")
+    assert sorted(got.collect()) == sorted(want.collect())
 
 
 def test_level_windows_of_a_table(spark):

@@ -1,7 +1,7 @@
 import random
 
+from bugloom import vocabulary as V
 from bugloom.operators import parse
-from tests import brute
 
 LINES = [
     "Traceback (most recent call last):", "Traceback (most recent call last): again",
@@ -51,16 +51,56 @@ def _table(spark, texts):
     ).repartition(4)
 
 
-def test_random_submissions_parse_like_the_plain_rules(spark):
+def test_random_submissions_keep_their_counts_and_places(spark):
+    """Whatever the text: what is found lies in it, and the counts add up."""
     texts = _texts()
     rows = parse.parse_submissions(_table(spark, texts)).collect()
     assert len(rows) == len(texts)
     for row in rows:
         got, text = row.asDict(recursive=True), texts[row["submission_id"]]
-        for name, value in brute.parse(text).items():
-            assert got[name] == value, (name, text)
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        assert got["raw_text"] == text and got["char_count"] == len(text)
+        assert got["line_count"] == text.count("\n") + 1
+        assert sum(got["log_level_counts"].values()) == len(got["log_entries"])
+        assert set(got["log_level_counts"]) == {e["level"] for e in got["log_entries"]}
         chain = got["exceptions"]
         assert got["root_cause"] == (chain[-1] if chain else None)
+        for e in chain:
+            assert e["exception_type"] in text and e["message"] in text
+            assert all(f["raw"] in text for f in e["frames"])
+        for entry in got["log_entries"]:
+            assert entry["raw"] in text and entry["message"] in entry["raw"]
+            assert (entry["timestamp"] or "") in entry["raw"]
+        signals = [s.lower() for s in got["key_signals"]]
+        assert len(signals) == len(set(signals)) and "" not in signals
+        assert all(e["exception_type"].lower() in signals for e in chain if e["exception_type"])
+        assert (got["artifact_type"] == "unknown") or text.strip()
+        for name, value in got["bug_fields"].items():
+            assert name in V.FIELD_NAMES and (value or name == "summary")
+        assert bool(got["title"]) <= bool(text.strip())
+        if got["title"]:
+            assert got["normalized_text"].startswith(got["title"])
+
+
+PUBLISHED = V.PUBLISHED_CAPS
+LONG = (
+    "".join(f"E{k}Error: no {k}\n" + "".join(f"    at f{j} (/s/m{k}.js:{j + 1}:2)\n" for j in range(6))
+            for k in range(8))
+    + " ".join(f"see src/a{k}.py" for k in range(30))
+)
+
+
+def test_nothing_is_cut_unless_asked_for(spark):
+    whole = parse.parse_submissions(_table(spark, [LONG, "word " * 2000])).collect()
+    capped = parse.parse_submissions(_table(spark, [LONG, "word " * 2000]), PUBLISHED).collect()
+    whole, capped = sorted(whole), sorted(capped)
+    assert len(whole[0].exceptions) == 8 and len(capped[0].exceptions) == 3
+    # Eight types, six functions, thirty-eight files; capped: three types, three functions, one file.
+    assert len(whole[0].key_signals) == 52 and len(capped[0].key_signals) == 7
+    assert "src/a29.py" in whole[0].key_signals
+    assert "in f0 -> f1 -> f2 -> f3 -> f4 -> f5" in whole[0].normalized_text
+    assert len(whole[1].title) == len("word " * 2000) - 1 and len(capped[1].title) == 200
+    assert len(capped[0].normalized_text) <= 4000
 
 
 def test_python_trace(spark):
@@ -154,7 +194,8 @@ def test_extreme_texts(spark):
 def test_dotted_names(spark):
     lines = ["[x] ERROR see com.acme.Cart. Then", "[x] ERROR a.b. c", "[x] ERROR .a.b.c", 
              "[x] ERROR (a$b.c.d..e.f.g)", "[x] ERROR a..b.c.d-x", "[x] ERROR 10.0.0.1:80"]
-    rows = parse.parse_submissions(_table(spark, lines)).collect()
-    for row in rows:
-        want = brute.logs(lines[row.submission_id])
-        assert [e.asDict() for e in row.log_entries] == want
+    rows = sorted(parse.parse_submissions(_table(spark, lines)).collect())
+    assert [[e.logger for e in r.log_entries] for r in rows] == [
+        ["com.acme.Cart"], [None], ["a.b.c"], ["a$b.c.d"], ["b.c.d"], ["10.0.0.1"],
+    ]
+    assert [r.log_entries[0].message for r in rows][:2] == ["see com.acme.Cart. Then", "a.b. c"]

@@ -1,3 +1,5 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,26 @@ def test_several_files_of_one_export(spark, exports, tmp_path):
     assert load_source(spark, "eclipse", str(tmp_path)).count() == 2
 
 
+def test_files_with_other_headers_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("bug_id,short_desc,bug_severity\n1,first title,major\n")
+    (tmp_path / "b.csv").write_text(" Bug_Severity , SHORT_DESC,bug_id\nminor,second title,2\nminor,short\n")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as f:
+        f.write("\ufeffshort_desc,component,bug_id\n\"third, title\",Cart,3\nlong,row,4,5\n")
+    (tmp_path / "notes.txt").write_text("not,an,export\n")
+    got = {r.defect_id: (r.title, r.severity, r.component) for r in load_source(spark, "eclipse", str(tmp_path)).collect()}
+    assert got == {
+        "eclipse-1": ("first title", "major", ""), "eclipse-2": ("second title", "minor", ""),
+        "eclipse-3": ("third, title", "unknown", "Cart"),
+    }
+    assert load_source(spark, "eclipse", str(tmp_path), limit=2).count() == 2
+
+
+def test_a_folder_with_no_export_is_an_error(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("nothing")
+    with pytest.raises(ValueError):
+        load_source(spark, "eclipse", str(tmp_path))
+
+
 def test_dead_alias_stays_dead(spark):
     rows = normalize_headers(spark.createDataFrame([("K-1", "K-2")], "Key string, `dupID` string"))
     assert normalize_jira(rows).first().duplicate_of is None
