@@ -1023,3 +1023,8 @@ SELECT 'doc-' || doc_id AS defect_id, 1 AS versions, true AS whole, true AS sing
 ORACLES["normalized_texts_capped"] = ORACLES["normalized_texts"].replace(
     "normalized_text FROM normalized", "left(normalized_text, 4000) AS normalized_text FROM normalized"
 )
+ORACLES["uploaded_files_scan"] = """
+SELECT text || chr(10) AS raw_text, octet_length(encode(text)) + 1 AS size FROM benchmark"""
+ORACLES["log_file_findings"] = with_parts(
+    f"lines AS (SELECT event_id AS submission_id, {LOG_LINE} AS line, 1 AS n FROM events)", entries()
+) + "SELECT level, count(*) AS n FROM entries GROUP BY level"

@@ -19,6 +19,7 @@ from bugloom.schema import RECORD_COLUMNS, combined_text, to_metadata, to_record
 from bugloom.session import shared_folder, spread, staged, unnest
 from bugloom.sources.knowledge_base import append_chunks, append_records, read_kb
 from bugloom.sources.load import load_source
+from bugloom.sources.submissions import read_log_lines, read_submissions
 from bugloom.sources.tracker_csv import POSITION
 from bugloom.streaming.jobs import (
     keep_level_counts,
@@ -417,6 +418,21 @@ def level_histogram(spark, sf_dir):
     return parse.level_histogram(parse.log_entries_table(parsed))
 
 
+def uploaded_files_scan(spark, sf_dir):
+    """The benchmark texts as uploaded files, one each, and read as submissions."""
+    path = scratch(spark, "uploads")
+    texts = table(spark, sf_dir, "benchmark").select("text")
+    texts.write.option("maxRecordsPerFile", 1).text(path)
+    return read_submissions(spark, path).select("raw_text", F.octet_length("raw_text").alias("size"))
+
+
+def log_file_findings(spark, sf_dir):
+    """The event log as large log files, read by lines and counted by level."""
+    path = scratch(spark, "logs")
+    _event_lines(table(spark, sf_dir, "events")).select("line").write.text(path)
+    return parse.log_lines(read_log_lines(spark, path)).groupBy("level").agg(F.count("*").alias("n"))
+
+
 def _event_lines(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"), F.expr(compose.LOG_LINE).alias("line")
@@ -605,12 +621,21 @@ def threshold_sweep(spark, sf_dir):
 
 
 def _linked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Nearest other defects, by buckets, of the records with a duplicate link, and the links."""
+    """Nearest other defects, by buckets, of the records with a duplicate link, and the links.
+
+    A duplicate's text quotes its original's title, which names the original's number.
+    """
     records = bugzilla(spark, sf_dir)
     truth = evaluate.duplicate_truth(records)
-    texts = records.select("defect_id", F.col("defect_id").alias("chunk_id"), combined_text().alias("text"))
+    originals = records.select(F.col("defect_id").alias("duplicate_of"), F.col("title").alias("quoted"))
+    texts = records.join(originals, "duplicate_of", "left").select(
+        "defect_id", F.col("defect_id").alias("chunk_id"),
+        F.concat_ws("\n", combined_text(), "quoted", "quoted", F.col("duplicate_of")).alias("text"),
+    )
     stored = scratch(spark, "linked")
-    search.with_buckets(embed.embed_text(texts, "text"), LINK_BITS).write.parquet(stored)
+    texts.write.parquet(stored + "-texts")
+    embedded = embed.embed_text(spark.read.parquet(stored + "-texts"), "text")
+    search.with_buckets(embedded, LINK_BITS).write.parquet(stored)
     kb = spark.read.parquet(stored)
     asked = kb.join(truth.select(F.col("query_id").alias("defect_id")).distinct(), "defect_id", "left_semi")
     queries = asked.select(F.col("defect_id").alias("query_id"), "embedding", F.col("defect_id").alias("exclude_id"))
@@ -731,7 +756,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clean_pages, clean_pages_capped, kb_append_versions, csv_mixed_headers,
-        normalized_texts_capped, recall_over_links, sweep_over_links, redact_pages, redact_documents, split_documents,
+        uploaded_files_scan, log_file_findings, normalized_texts_capped, recall_over_links, sweep_over_links, redact_pages, redact_documents, split_documents,
         split_documents_wide_overlap, chunk_documents, language_of_texts, severity_guesses,
         bugzilla_records, jira_records, combined_texts, metadata_rows, first_records,
         csv_export_scan, xml_export_scan, kb_totals, kb_breakdown, kb_breakdown_per_defect,
