@@ -83,6 +83,12 @@ def matches(
     return contains_any(col, literals) & found if literals else found
 
 
+def stripped_matches(line: Column, pattern: str, literals: tuple[str, ...]) -> Column:
+    """Regex test of a stripped line. The literals, without white space at their ends, are
+    looked for in the line as it is: only lines that hold one are stripped."""
+    return contains_any(line, literals) & matches(strip(line), pattern)
+
+
 def extract(col: Column, pattern: str, group: int, multiline: bool = False) -> Column:
     return F.regexp_extract(col, java_regex(pattern, multiline), group)
 

@@ -17,6 +17,7 @@ from bugloom.functions.regex import (
     is_blank,
     matches,
     strip,
+    stripped_matches,
 )
 
 FRAME_TYPE = "struct<raw:string,file:string,line:bigint,function:string,module:string>"
@@ -94,7 +95,7 @@ def java_chain(lines: Column) -> Column:
     def classify(line: Column) -> Column:
         is_cause = matches(line, V.JAVA_CAUSE, literals=("Caused by:",))
         is_frame = matches(line, V.JAVA_FRAME, literals=("(",))
-        is_thrown = matches(strip(line), V.JAVA_EXCEPTION, literals=V.JAVA_TYPE_ENDS)
+        is_thrown = stripped_matches(line, V.JAVA_EXCEPTION, V.JAVA_TYPE_ENDS)
         return F.struct(
             line.alias("line"),
             is_cause.alias("is_cause"),
@@ -138,7 +139,7 @@ def _python_frame(line: Column) -> Column:
 
 def _python_line(line: Column) -> Column:
     """Role of a line inside a block, and whether it is a header."""
-    is_exception = matches(strip(line), V.PYTHON_EXCEPTION, literals=V.PYTHON_TYPE_ENDS)
+    is_exception = stripped_matches(line, V.PYTHON_EXCEPTION, V.PYTHON_TYPE_ENDS)
     role = (
         F.when(matches(line, V.PYTHON_FRAME, literals=('File "',)), "frame")
         .when(is_exception, "exception")
@@ -230,10 +231,9 @@ def _script_frame(line: Column) -> Column:
 
 def generic_chain(lines: Column, most: int | None = None) -> Column:
     def is_head(line: Column) -> Column:
-        bare = strip(line)
-        return matches(bare, V.GENERIC_EXCEPTION, literals=V.GENERIC_TYPE_ENDS) | matches(
-            bare, V.PANIC_LINE, literals=("panic:",)
-        )
+        return stripped_matches(
+            line, V.GENERIC_EXCEPTION, V.GENERIC_TYPE_ENDS
+        ) | stripped_matches(line, V.PANIC_LINE, ("panic:",))
 
     def head(line: Column, frames: Column) -> Column:
         bare = matches(line, V.GENERIC_EXCEPTION)
