@@ -4,7 +4,7 @@ Where the queries work on arrays inside a row, these unnest lines and use window
 queries multiply matrices, these take dot products of all pairs.
 """
 
-from bugloom import vocabulary as V
+from catalog import expected as V
 from catalog.compose import (
     BUGZILLA_ROWS, JAVA_TEXT, JIRA_ROWS, LOG_LINE, LOG_TEXT, MIXED_TEXT, PYTHON_TEXT,
     REPORT_TEXT, SCRIPT_TEXT,
@@ -314,7 +314,7 @@ SELECT defect_id, source, project, nullif(component, '') AS component, title, se
        priority, status, resolution, duplicate_of, has_stack_trace, language,
        replace(keywords, '|', ', ') AS keywords, url FROM records"""
 ORACLES["first_records"] = with_parts(*JIRA_RECORDS) + f"""
-SELECT * FROM records ORDER BY defect_id LIMIT {V.PUBLISHED_CAPS.records_per_source}"""
+SELECT * FROM records ORDER BY defect_id LIMIT {V.RECORDS_PER_SOURCE}"""
 ORACLES["xml_export_scan"] = with_parts(
     f"raw AS ({BUGZILLA_ROWS})",
     "picked AS (SELECT *, trim(short_desc) AS title FROM raw WHERE trim(bug_id) <> '')",
