@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugloom.llm.common import shuffle_partitions, written
+from bugloom.llm.common import ranked, shuffle_partitions, written
 from bugloom.llm.tokens import encoder, in_runs
 
 WINDOW = 2048
@@ -138,10 +138,9 @@ def cut_documents(
     def run(batches):
         encode = encoder(vocabulary).encode
         for batch in batches:
-            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
-            for first, after in in_runs(texts):
-                found = encode(texts[first:after])
-                rows = [p for i, x in zip(ids[first:after], found) for p in pieces(i, x + end)]
+            for some in in_runs(batch):
+                ids, texts = (some.column(c).to_pylist() for c in ("doc_id", "text"))
+                rows = [p for i, x in zip(ids, encode(texts)) for p in pieces(i, x + end)]
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_PIECE_TYPES)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -149,23 +148,6 @@ def cut_documents(
     return own.mapInArrow(run, PIECES)
 
 
-def ranked(rows: DataFrame, key: str, order: str, parts: int) -> DataFrame:
-    """Rows with ``rank`` from 0 among those of their key.
-
-    A key's rows are dealt to ``parts`` groups, ranked in each, and the groups' counts, at most
-    ``parts`` per key, are summed up; so a key that holds most rows is not one task's work.
-    """
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
-    counts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")
-    bases = counts.select(key, "_part", before.alias("_base"))
-    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(order)) - 1
-    return (
-        dealt.withColumn("_inside", inside).join(bases, [key, "_part"])
-        .withColumn("rank", F.col("_base") + F.col("_inside")).drop("_part", "_inside", "_base")
-    )
-
-
 def packed(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of all documents (doc_id, text) with sequence_id and offset.
 

@@ -84,10 +84,9 @@ def write_records(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary:
     def run(batches):
         encode = encoder(vocabulary).encode
         for batch in batches:
-            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
-            for first, after in in_runs(texts):
-                found = encode(texts[first:after])
-                records = [frame(payload(i, x + end)) for i, x in zip(ids[first:after], found)]
+            for part in in_runs(batch):
+                ids, texts = (part.column(c).to_pylist() for c in ("doc_id", "text"))
+                records = [frame(payload(i, x + end)) for i, x in zip(ids, encode(texts))]
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(
@@ -100,15 +99,14 @@ def write_records(docs: DataFrame, path: str, end_id: int = END_ID, vocabulary:
     )
 
 
-SCAN_SCHEMA = (
-    "file string, position bigint, offset bigint, length bigint, doc_id bigint, ids binary"
-)
-_SCAN_TYPES = [pa.string(), *[pa.int64()] * 4, pa.binary()]
+RECORD = "file string, position bigint, offset bigint, length bigint, doc_id bigint"
+_RECORD_TYPES = [pa.string(), *[pa.int64()] * 4]
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the files in a folder, both checksums verified; ids as 32-bit numbers."""
-    names = [c.split()[0] for c in SCAN_SCHEMA.split(", ")]
+def _read(spark: SparkSession, path: str, fields: str, kinds: list, of) -> DataFrame:
+    """A row per record, both checksums verified: its place, and ``of`` its 32-bit ids."""
+    schema, types = f"{RECORD}, {fields}", [*_RECORD_TYPES, *kinds]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
@@ -118,27 +116,32 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 while at < len(view):
                     data, after = read_frame(view, at)
                     doc_id, ids = parsed(data)
-                    rows.append((file, position, at, after - at, doc_id, ids))
+                    rows.append((file, position, at, after - at, doc_id, *of(ids)))
                     position, at, size = position + 1, after, size + len(ids)
                     if size > 4_000_000 or at == len(view):
-                        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_SCAN_TYPES)]
+                        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                         yield pa.RecordBatch.from_arrays(columns, names=names)
                         rows, size = [], 0
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, SCAN_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of the files in a folder with its place and its ids, 32 bits each."""
+    return _read(spark, path, "ids binary", [pa.binary()], lambda ids: (ids,))
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     """Read all records back and write their index; returns it."""
-    name = F.regexp_extract("file", r"part-(\d+)-[^/]*-c(\d+)\.[^/]*$", 1)
-    split = F.regexp_extract("file", r"part-(\d+)-[^/]*-c(\d+)\.[^/]*$", 2)
-    rows = read_records(spark, path).select(
-        "file", name.cast("int").alias("part"), split.cast("int").alias("split"), "position",
-        "offset", "length", "doc_id",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
+    found = _read(
+        spark, path, "n_tokens bigint, ids_crc32 bigint", [pa.int64()] * 2,
+        lambda ids: (len(ids) // 4, zlib.crc32(ids)),
+    )
+    part, split = (
+        F.regexp_extract("file", r"part-(\d+)-[^/]*-c(\d+)\.[^/]*$", k).cast("int") for k in (1, 2)
     )
+    rows = found.withColumns({"part": part, "split": split})
     rows.write.parquet(index_path)
     return spark.read.schema(rows.schema).parquet(index_path)
 

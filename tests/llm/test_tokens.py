@@ -8,7 +8,7 @@ from bugloom.llm.tokens import Encoder
 
 BITS = [
     " ", " ", "  ", "a", "B", "the", "12", "!", ".", ",", "'s", "'", "\n", "\t", "\r", "\x0b",
-    "é", "ß", "́", "中", "😀", "\x85", "\x1c", "\xa0", "​", "᠎", " ", "　",
+    "é", "ß", "'ll", "'T", "&&&", "$", "x1y", "-", "http://a.b/c?d=1", "don't", "́", "中", "😀", "\x85", "\x1c", "\xa0", "​", "᠎", " ", "　",
     "<|endoftext|>", " x", "_", "ª", "²", "ℵ", "\x00",
 ]
 
