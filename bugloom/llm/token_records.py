@@ -29,7 +29,7 @@ PAYLOAD, PAYLOAD_BYTES = "<Bq", 9
 _MASK = 0xA282EAD8  # fixed value of the masked checksum
 
 
-def masked(data: bytes) -> int:
+def masked(data: bytes | memoryview) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + _MASK) & 0xFFFFFFFF
 
@@ -43,10 +43,10 @@ def payload(doc_id: int | None, ids: bytes) -> bytes:
     return struct.pack(PAYLOAD, flags, doc_id or 0) + body
 
 
-def parsed(data: bytes) -> tuple[int | None, bytes]:
+def parsed(data: bytes | memoryview) -> tuple[int | None, bytes]:
     flags, doc_id = struct.unpack_from(PAYLOAD, data)
     body = data[PAYLOAD_BYTES:]
-    ids = body if flags & 2 else np.frombuffer(body, "<u2").astype("<u4").tobytes()
+    ids = bytes(body) if flags & 2 else np.frombuffer(body, "<u2").astype("<u4").tobytes()
     return doc_id if flags & 1 else None, ids
 
 
@@ -58,13 +58,13 @@ def frame(data: bytes) -> bytes:
     ])
 
 
-def read_frame(content, at: int) -> tuple[bytes, int]:
-    """The payload of the record at an offset, and the next record's offset."""
+def read_frame(content, at: int) -> tuple[bytes | memoryview, int]:
+    """The payload of the record at an offset, a slice, and the next record's offset."""
     size, check = struct.unpack_from(HEAD, content, at)
-    if masked(bytes(content[at:at + 8])) != check:
+    if masked(content[at:at + 8]) != check:
         raise ValueError(f"broken length at byte {at}")
     start = at + HEAD_BYTES
-    data = bytes(content[start:start + size])
+    data = content[start:start + size]
     end = start + size
     if len(data) != size or struct.unpack_from("<I", content, end)[0] != masked(data):
         raise ValueError(f"broken record at byte {at}")

@@ -30,6 +30,19 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+_ASCII_SPACES = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _is_loose(text: str) -> bool:
+    """Does a blank come before white space or at the end? Plain searches do for ASCII."""
+    if not text.isascii():
+        return _LOOSE_BLANK.search(text) is not None
+    return (
+        text.endswith(" ") or "  " in text
+        or any(c in text and " " + c in text for c in _ASCII_SPACES)
+    )
+
+
 def _byte_letters() -> dict[int, int]:
     """The letter that stands for each byte: printable ones for themselves, others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -108,7 +121,7 @@ class Encoder:
         )
 
     def _encode(self, text: str) -> bytes:
-        if _LOOSE_BLANK.search(text):
+        if _is_loose(text):
             return self.direct([text])[0]
         head, *rest = text.split(" ")
         first = self.first[head] if head else b""
