@@ -4,6 +4,7 @@ import math
 import uuid
 import zlib
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,3 +127,16 @@ def sized_broadcast(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
 
 def crc32_remainder_py(key, modulus: int) -> int:
     return zlib.crc32(b"" if key is None else str(int(key)).encode()) % modulus
+
+
+def in_runs(batch, text: str = "text", most_bytes: int = 1_000_000):
+    """Slices of a record batch with a bounded size of their texts (or one row), in order."""
+    first, size = 0, 0
+    for k, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        n = n or 0
+        if k > first and size + n > most_bytes:
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += n
+    if batch.num_rows > first:
+        yield batch.slice(first)

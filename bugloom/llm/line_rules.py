@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bugloom.llm.common import in_runs
+
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 MARKS_PER_WORD = 0.5
@@ -117,7 +119,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     types = [_ARROW[f.dataType.simpleString()] for f in added.fields]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_runs(whole)):
             found = [judge(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([r[k] for r in found], kind) for k, kind in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)

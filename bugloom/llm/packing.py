@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugloom.llm.common import ranked, shuffle_partitions, written
-from bugloom.llm.tokens import encoder, in_runs
+from bugloom.llm.common import in_runs, ranked, shuffle_partitions, written
+from bugloom.llm.tokens import encoder
 
 WINDOW = 2048
 END_ID = 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugloom.llm.common import crc32_remainder
+from bugloom.llm.common import crc32_remainder, in_runs
 from bugloom.llm.labelled import FIT_ROWS, labelled_documents, sampled_labels
 
 THRESHOLD = 0.3
@@ -190,7 +190,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     sample = labelled_documents(docs, sampled_labels(labels, "quality", MODULUS, HELD, most))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_runs(whole)):
             found = [describe(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array(found, pa.list_(pa.float64()))]
             columns += [batch.column("doc_id"), batch.column("label")]
@@ -214,7 +214,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFram
     schema = kept.withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_runs(whole)):
             x = np.array([describe(t) for t in batch.column("text").to_pylist()])
             scores = told.value.score(x.reshape(-1, len(NAMES)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=schema.names)

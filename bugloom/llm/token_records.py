@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bugloom.llm.common import id_key, shuffle_partitions
-from bugloom.llm.tokens import encoder, in_runs
+from bugloom.llm.common import id_key, in_runs, shuffle_partitions
+from bugloom.llm.tokens import encoder
 
 END_ID = 0
 FILE_RECORDS = 4096

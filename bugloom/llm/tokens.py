@@ -10,7 +10,6 @@ import gc
 import re
 from array import array
 
-import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Fixed value: how the vocabulary's tokenizer cuts printable ASCII without white space inside.
@@ -147,16 +146,3 @@ def encoder(path: str | None = None) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
-
-
-def in_runs(batch, text: str = "text", most_bytes: int = 1_000_000):
-    """Slices of a record batch with a bounded size of their texts (or one row), in order."""
-    first, size = 0, 0
-    for k, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
-        n = n or 0
-        if k > first and size + n > most_bytes:
-            yield batch.slice(first, k - first)
-            first, size = k, 0
-        size += n
-    if batch.num_rows > first:
-        yield batch.slice(first)

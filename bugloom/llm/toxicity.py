@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugloom.llm.common import crc32_remainder
+from bugloom.llm.common import crc32_remainder, in_runs
 from bugloom.llm.labelled import FIT_ROWS, labelled_documents, sampled_labels
 
 THRESHOLD = 0.3
@@ -74,10 +74,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         table, total = _sign_table(), np.zeros(SIGNS**3, np.int64)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 200):
-                total += trigram_counts(texts[k:k + 200], table)
+        for batch in (part for whole in batches for part in in_runs(whole)):
+            total += trigram_counts(batch.column("text").to_pylist(), table)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["g", "n"])
 
@@ -198,8 +196,9 @@ def bucket_counts(labelled: DataFrame, model) -> np.ndarray:
     def run(batches):
         restorer, total = Restorer(model.value), np.zeros((2, 2, BUCKETS + 1), np.int64)
         known: dict = {}
-        for batch in batches:
-            for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
+        columns = ("doc_id", "text", "label")
+        for batch in (part for whole in batches for part in in_runs(whole)):
+            for doc_id, text, label in zip(*(batch.column(c).to_pylist() for c in columns)):
                 own = set()
                 for t in set(tokens(text)):
                     got = known.get(t)
@@ -299,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS):
 
     def run(batches):
         scorers = [Scorer(model.value, t) for t in other.value]
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_runs(whole)):
             rows = [
                 scorers[fold_of(i)].features(t)
                 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
@@ -327,7 +326,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFram
     def run(batches):
         table, weights = told.value
         scorer = Scorer(model.value, table)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_runs(whole)):
             texts = batch.column("text").to_pylist()
             scores = [0.0] * len(texts)
             if weights is not None:
