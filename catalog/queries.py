@@ -32,7 +32,6 @@ from bugloom.streaming.jobs import (
 from catalog import compose
 
 DUPLICATE_LEVEL = 0.45
-LINK_BITS, LINK_PROBES = 6, 3
 SWEEP_LEVELS = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
@@ -621,25 +620,19 @@ def threshold_sweep(spark, sf_dir):
 
 
 def _linked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Nearest other defects, by buckets, of the records with a duplicate link, and the links.
-
-    A duplicate's text quotes its original's title, which names the original's number.
-    """
+    """Nearest other defects, among all, of the records with a duplicate link, and the links."""
     records = bugzilla(spark, sf_dir)
     truth = evaluate.duplicate_truth(records)
-    originals = records.select(F.col("defect_id").alias("duplicate_of"), F.col("title").alias("quoted"))
-    texts = records.join(originals, "duplicate_of", "left").select(
-        "defect_id", F.col("defect_id").alias("chunk_id"),
-        F.concat_ws("\n", combined_text(), "quoted", "quoted", F.col("duplicate_of")).alias("text"),
+    texts = records.select(
+        "defect_id", F.col("defect_id").alias("chunk_id"), combined_text().alias("text")
     )
     stored = scratch(spark, "linked")
     texts.write.parquet(stored + "-texts")
-    embedded = embed.embed_text(spark.read.parquet(stored + "-texts"), "text")
-    search.with_buckets(embedded, LINK_BITS).write.parquet(stored)
+    embed.embed_text(spark.read.parquet(stored + "-texts"), "text").write.parquet(stored)
     kb = spark.read.parquet(stored)
     asked = kb.join(truth.select(F.col("query_id").alias("defect_id")).distinct(), "defect_id", "left_semi")
     queries = asked.select(F.col("defect_id").alias("query_id"), "embedding", F.col("defect_id").alias("exclude_id"))
-    return search.top_defects(queries, kb, bits=LINK_BITS, probes=LINK_PROBES), truth
+    return search.top_defects(queries, kb), truth
 
 
 def recall_over_links(spark, sf_dir):
