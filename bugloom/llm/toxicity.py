@@ -14,7 +14,9 @@ strongest words, by a small logistic model fitted across two folds, give its sco
 
 import re
 import zlib
+from collections.abc import Iterator
 from math import exp, log
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +42,16 @@ SEPARATORS = ".-_*~'`^·"
 EDGES = ".,;:!?\"'()[]{}*%&#<>|-_~…“”«»"
 # Costs of the channel, as logarithms.
 SUBSTITUTED, STRETCHED, SHORTENED, SEPARATED = -1.5, -0.5, -4.0, -1.0
+# Longer tokens hold more than a word: passages of letters apart, addresses, markup.
+LONG = 64
+# Places of the lattice after which the beginning of a reading is settled.
+LOOKAHEAD = 128
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _STRETCH = re.compile(r"(.)\1\1")
 _APART = re.compile(r"(?<!\S)(?:[^\s,;:] ){3,}[^\s,;:](?!\S)")
 _RUNS = re.compile(r"(.)\1*", re.S)
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def sign(c: str) -> int:
@@ -96,9 +103,8 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True)).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """Options at each place of a lower-cased token: letters (or nothing, or a gap) and costs."""
-    places = []
     for found in _RUNS.finditer(token):
         c, n = found[1], found.end() - found.start()
         if c.isalpha():
@@ -118,14 +124,31 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                     options.append((letter * 2, SUBSTITUTED))
             if c in SEPARATORS:
                 options += [("", SEPARATED), (" ", 0.0)]
-        places.append(options)
-    return places
+        yield options
+
+
+def settled(states: dict) -> tuple[str, dict]:
+    """What all readings begin with, and the states without it.
+
+    Where readings still differ ``LOOKAHEAD`` letters back, the likeliest decides.
+    """
+    texts = [t for _, t in states.values()]
+    head = commonprefix([min(texts), max(texts)])
+    if max(map(len, texts)) - len(head) > 2 * LOOKAHEAD:
+        head = max(states.values())[1][:-LOOKAHEAD]
+    return head, {
+        k: (s, t[len(head):]) for k, (s, t) in states.items() if t.startswith(head)
+    }
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a token; gaps in it separate words."""
-    states = {(0, 0): (0.0, "")}
-    for options in lattice(token):
+    """The likeliest reading of a token; gaps in it separate words.
+
+    Readings are kept from the place on where they differ, so the work grows with the token's
+    length and not with its square.
+    """
+    states, done = {(0, 0): (0.0, "")}, []
+    for at, options in enumerate(lattice(token), 1):
         after: dict = {}
         for (a, b), (score, text) in states.items():
             for letters, cost in options:
@@ -141,8 +164,11 @@ def decode(token: str, model: np.ndarray) -> str:
                 if (x, y) not in after or after[x, y][0] < s:
                     after[x, y] = (s, text + letters)
         states = after
+        if at % LOOKAHEAD == 0:
+            head, states = settled(states)
+            done.append(head)
     best = max((s + float(model[a, b, 0]), t) for (a, b), (s, t) in states.items())
-    return best[1]
+    return "".join(done) + best[1]
 
 
 def tokens(text: str | None) -> list[str]:
@@ -172,11 +198,10 @@ class Restorer:
             return []
         # At the ends these signs are punctuation; a first "!" or "(" may be a letter.
         kept = token.lstrip(".,;:?\"')[]{}*%&#<>~").rstrip(".,;:?!\"'()[]{}*%&#<>~")
-        if len(kept) > 64:
-            # Longer than any disguise: addresses, keys, markup; its runs of letters as they are.
-            return re.findall(r"[^\W\d_]+", kept)
-        read = decode(kept, self.model).split()
-        return [w for w in (r.strip(EDGES) for r in read) if w]
+        read = decode(kept, self.model)
+        if len(kept) > LONG:
+            return _LETTERS.findall(read)
+        return [w for w in (r.strip(EDGES) for r in read.split()) if w]
 
     def restore(self, text: str | None) -> str:
         return " ".join(w for t in tokens(text) for w in self.words(t))

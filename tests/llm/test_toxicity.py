@@ -1,6 +1,7 @@
 """Decoding of disguised words, and held-out accuracy on invented texts."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -92,3 +93,41 @@ def test_odd_tables(spark):
         got = tox.scored(docs, labels).collect()
         assert len(got) == 3 and all(0 <= r["score"] <= 1 for r in got)
     assert tox.scored(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("text, words", [
+    (" ".join("youareastupidrottenvillainandaratwithouthome"), ["stupid", "rotten", "villain"]),
+    ("st" + "u" * 100 + "pid", ["stupid"]), ("rotten" + "!" * 100, ["rotten"]),
+    ("-".join("wretch" * 30), ["wretch"]), ("http://a.b/" + "x/" * 40 + "v1lla1n/", ["villain"]),
+])
+def test_long_tokens_are_decoded(text, words):
+    restored = tox.Restorer(model()).restore(text)
+    assert all(w in restored for w in words)
+
+
+def test_long_tokens_are_read_as_by_whole_paths():
+    """Settling beginnings changes no reading, and takes time in proportion to the length."""
+    own, rng = model(), random.Random(5)
+
+    def whole(token):
+        states = {(0, 0): (0.0, "")}
+        for options in tox.lattice(token):
+            after = {}
+            for (a, b), (score, text) in states.items():
+                for letters, cost in options:
+                    x, y, s = a, b, score + cost
+                    for c in letters:
+                        s += float(own[x, y, 0 if c == " " else tox.sign(c)])
+                        x, y = (0, 0) if c == " " else (y, tox.sign(c))
+                    if (x, y) not in after or after[x, y][0] < s:
+                        after[x, y] = (s, text + letters)
+            states = after
+        return max((s + float(own[a, b, 0]), t) for (a, b), (s, t) in states.items())[1]
+
+    for _ in range(20):
+        token = " ".join("".join(rng.choices(VOCABULARY, k=60)).translate(str.maketrans("ieo", "130")))
+        assert tox.decode(token, own) == whole(token)
+    for token in ("1." * 100_000, "a " * 100_000, "$1" * 100_000):
+        began = time.process_time()
+        assert tox.decode(token, own)
+        assert time.process_time() - began < 60
