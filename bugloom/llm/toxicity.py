@@ -49,7 +49,11 @@ LOOKAHEAD = 128
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _STRETCH = re.compile(r"(.)\1\1")
-_APART = re.compile(r"(?<!\S)(?:[^\s,;:] ){3,}[^\s,;:](?!\S)")
+_TWICE = re.compile(r"(.)\1")
+# Three or more single signs with white space between them, in quotes or before punctuation.
+_APART = re.compile(
+    r"(?<!\S)[\"'(\[{“«]*(?P<signs>(?:[^\s,;:]\s++){2,}[^\s,;:])(?=[.,;:!?\"')\]}*~…”»]*+(?!\S))"
+)
 _RUNS = re.compile(r"(.)\1*", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -179,7 +183,7 @@ def tokens(text: str | None) -> list[str]:
     out, at = [], 0
     for found in _APART.finditer(text):
         out += text[at:found.start()].split()
-        out.append(found[0])
+        out.append(" ".join(found["signs"].split()))
         at = found.end()
     return out + text[at:].split()
 
@@ -193,7 +197,8 @@ class Restorer:
     def words(self, token: str) -> list[str]:
         plain = token.strip(EDGES)
         if _PLAIN.match(plain) and not _STRETCH.search(plain):
-            return [plain]
+            # A letter twice may be once; the lattice drops one where the model finds both unlikely.
+            return decode(plain, self.model).split() if _TWICE.search(plain) else [plain]
         if not any(map(str.isalnum, token)):
             return []
         # At the ends these signs are punctuation; a first "!" or "(" may be a letter.

@@ -131,3 +131,26 @@ def test_long_tokens_are_read_as_by_whole_paths():
         began = time.process_time()
         assert tox.decode(token, own)
         assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("text, restored", [
+    ("you i d i o t!", "you idiot"), ("i d i o t.", "idiot"), ("i d i o t, yes", "idiot yes"),
+    ("r a t now", "rat now"), ("m a t. the cat", "mat the cat"), ('"i d i o t" sat', "idiot sat"),
+    ("i  d  i  o  t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("i\nd\ni\no\nt\n", "idiot"),
+    ("i \t d\n\ni o  t ?!", "idiot"), ("stuupid", "stupid"), ("rottten", "rotten"),
+    ("nnasty, viillain", "nasty villain"), ("letter better off hills", "letter better off hills"),
+    ("a cat", "a cat"), ("( a t", "cat"),
+])
+def test_disguises_at_the_gates(text, restored):
+    got = tox.Restorer(model()).restore(text)
+    assert got == restored
+
+
+@pytest.mark.parametrize("text", [
+    "a a" + " " * 200_000 + "bb", "a " * 100_000 + "bb", "a a a" + "." * 200_000 + "bb",
+    "(" * 200_000 + "a", ". " * 100_000 + "bb", "a\t\n" * 100_000, "(a " * 50_000,
+])
+def test_gates_take_no_time(text):
+    began = time.process_time()
+    tox.tokens(text)
+    assert time.process_time() - began < 5
