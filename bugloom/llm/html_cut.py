@@ -26,8 +26,10 @@ BLOCK_TAGS = frozenset(
     "ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title",
-            "object", "canvas", "audio", "video", "math")
+RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "textarea", "title")
+# Dropped to their end tags; without one, what follows is the page's own text.
+EMBEDDED_TAGS = frozenset(["svg", "object", "canvas", "audio", "video"])
+SELF_CLOSING_TAGS = frozenset(["svg", "math"])
 DROPPED_TAGS = frozenset(["form", "button", "select", "option", "head"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 # What an opening tag closes, up to the nearest of its containers.
@@ -70,6 +72,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+_EMBEDDED_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in EMBEDDED_TAGS}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -142,6 +145,7 @@ def blocks(html: str) -> list[Block]:
     root = Element("", None, 0, 0.0, False, False)
     now, holder, parts, linked, at = root, root, [], 0, 0
     counts: dict[str, int] = {}  # open elements by tag
+    endless: set[str] = set()  # embedded elements without an end tag from here on
 
     def flush():
         nonlocal parts, linked
@@ -174,7 +178,8 @@ def blocks(html: str) -> list[Block]:
             e = e.parent
 
     # Behind the last ">" there are no tags, and no search for one's end runs into nothing.
-    for m in _TOKEN.finditer(html, 0, html.rfind(">") + 1):
+    last = html.rfind(">") + 1
+    while m := _TOKEN.search(html, at, last):
         add(html[at:m.start()])
         at = m.end()
         tag = m["tag"]
@@ -186,6 +191,16 @@ def blocks(html: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
+        if not m["close"]:
+            if tag in SELF_CLOSING_TAGS and m["attrs"].endswith("/"):
+                continue
+            if tag in EMBEDDED_TAGS:
+                end = None if tag in endless else _EMBEDDED_ENDS[tag].search(html, at, last)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+                continue
         is_block = tag in BLOCK_TAGS or tag in DROPPED_TAGS
         if is_block:
             flush()

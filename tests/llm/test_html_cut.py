@@ -98,3 +98,26 @@ def test_table(spark):
         (0, "", 0, 0), (1, "Short.", 6, 5), (1, "Short.", 6, 5)
     ]
     assert hc.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<p>One <svg class="i"/> two.</p><p>Three.</p>', "One two.\nThree."),
+    ("<p>One <svg/> two.</p><p>Three <SVG><title>no</title><path d='M0'/></SVG >more.</p>", "One two.\nThree more."),
+    ("<p>One <math/> two.</p><p>Three.</p>", "One two.\nThree."),
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>So.</p>", "Let x=1 hold.\nSo."),
+    *[(f"<p>One <{t} a='/'> two.</p><p>Three.</p>", "One two.\nThree.") for t in ("object", "video", "audio", "canvas", "svg", "math")],
+    *[(f"<p>One <{t}><p>no</p></{t}> two.</p><p>Three <{t}>.</p>", "One two.\nThree .") for t in ("object", "video", "audio", "canvas", "svg")],
+    ("<p>One <iframe src='x'>no</iframe> two.</p>", "One two."),
+])
+def test_only_embedded_elements_are_dropped(html, text):
+    assert hc.main_text(f"<article>{html}</article>") == text
+
+
+@pytest.mark.parametrize("html", [
+    "<svg>" * 100_000, "<video><svg/>" * 50_000, "<svg></svg>" * 50_000, "<math>x" * 50_000,
+    "<svg>" + "<object>" * 100_000 + "</svg>", "<svg></object>" * 50_000,
+])
+def test_embedded_elements_take_no_time(html):
+    began = time.process_time()
+    hc.main_text(html)
+    assert time.process_time() - began < 20
