@@ -32,6 +32,7 @@ from bugloom.streaming.jobs import (
 from catalog import compose
 
 DUPLICATE_LEVEL = 0.45
+RECALL_PROBES = 13
 SWEEP_LEVELS = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
@@ -550,6 +551,24 @@ def bucketed_topk(spark, sf_dir):
     return _hits(search.top_chunks(vector_queries(kb), kb, bits=4, probes=3))
 
 
+def probed_topk(spark, sf_dir):
+    """By as many of the 16 buckets as a recall of 0.9 takes."""
+    kb = search.with_buckets(vectors(spark, sf_dir), bits=4)
+    return _hits(search.top_chunks(vector_queries(kb), kb, bits=4, probes=RECALL_PROBES))
+
+
+def bucket_recall(spark, sf_dir):
+    """The share of the exact nearest neighbours that the searches by buckets find."""
+    stored = scratch(spark, "exact")
+    vector_topk(spark, sf_dir).write.parquet(stored)
+    exact = spark.read.parquet(stored)
+    rows = [
+        evaluate.bucket_recall(exact, hits(spark, sf_dir)).withColumn("search", F.lit(hits.__name__))
+        for hits in (bucketed_topk, probed_topk)
+    ]
+    return rows[0].unionByName(rows[1]).select("search", "neighbours", "found", "recall")
+
+
 def duplicate_candidates(spark, sf_dir):
     return _hits(search.duplicates_within(vectors(spark, sf_dir), threshold=DUPLICATE_LEVEL))
 
@@ -757,7 +776,8 @@ QUERIES = {
         script_chains, root_causes, log_entries, level_histogram, level_windows,
         artifact_types, report_fields, submission_titles, first_lines, key_signals,
         report_signals, normalized_texts, parsed_submissions, submission_records, vector_topk,
-        filtered_topk, defect_topk, overfetched_topk, bucketed_topk, duplicate_candidates,
+        filtered_topk, defect_topk, overfetched_topk, bucketed_topk, probed_topk, bucket_recall,
+        duplicate_candidates,
         duplicate_counts, embedded_documents, text_search, submission_search, recall_at_k,
         threshold_sweep, fix_notes, triage_routes, log_findings, exception_patterns,
         defect_cube, duplicate_families, stream_level_windows, stream_submission_matches,
