@@ -5,18 +5,21 @@ from pyspark.sql import functions as F
 
 from bugloom.llm import fingerprints as fp
 from bugloom.llm import (
+    hard_negatives,
     html_cut,
     line_rules,
     mixing,
     ngram_join,
     packing,
     quality_gam,
+    sharding,
     token_records,
     toxicity,
+    turn_repair,
     warc,
 )
 from bugloom.llm.common import new_folder, table
-from bugloom.llm.oracles import OP2_SQL, OP5_SQL, OP6_SQL, OP7_SQL
+from bugloom.llm.oracles import OP2_SQL, OP5_SQL, OP6_SQL, OP7_SQL, OP11_SQL
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +119,25 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector by cover trees over all vectors."""
+    rows = hard_negatives.candidates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.mined(hard_negatives.relabelled(rows), F.col("vec_id") % 100 == 0)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of all damaged conversations."""
+    return turn_repair.repairs(turn_repair.damaged(
+        spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    ))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, texts included, in eight shuffled shards of equal numbers of rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.digest_columns(sharding.sharded(docs))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -127,6 +149,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_html_cut": op9_html_cut,
     "op10_token_records": op10_token_records,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -134,4 +159,5 @@ ORACLES: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op6_line_rules": OP6_SQL,
     "op7_ngram_join": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
 }
