@@ -48,5 +48,7 @@ def chunk_defects(
     exploded = unnest(prepared, "_pieces", "chunk_index", "text", "*", n_chunks)
     return exploded.withColumn(
         "chunk_id",
-        F.concat(F.col("defect_id"), F.lit("::chunk"), F.col("chunk_index").cast("string")),
+        F.concat(
+            F.coalesce("defect_id", F.lit("")), F.lit("::chunk"), F.col("chunk_index").cast("string")
+        ),
     ).select(*CHUNK_COLUMNS)

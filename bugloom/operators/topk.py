@@ -5,7 +5,7 @@ partition, keeps at most ``k`` groups per query, and never materializes scored p
 one slice.
 """
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,9 +144,12 @@ class TopK:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def scan(block: QueryBlock, batches: Iterable, k: int, group: str) -> TopK:
+def scan(
+    block: QueryBlock, batches: Iterable, k: int, group: str,
+    vectors_of: Callable[[pa.Array], np.ndarray] = matrix,
+) -> TopK:
     """Best ``k`` groups of every query over batches with columns id, defect, vector and,
-    with probes, bucket."""
+    with probes, bucket. ``vectors_of`` tells what the vector column's entries stand for."""
     state = TopK(block, k)
     for batch in batches:
         batch = batch.filter(batch.column("vector").is_valid())
@@ -160,7 +163,7 @@ def scan(block: QueryBlock, batches: Iterable, k: int, group: str) -> TopK:
         if block.probes is not None:
             buckets = batch.column("bucket").to_numpy()
         state.add(
-            columns["id"], columns[group], columns["defect"], matrix(batch.column("vector")),
+            columns["id"], columns[group], columns["defect"], vectors_of(batch.column("vector")),
             buckets,
         )
     return state

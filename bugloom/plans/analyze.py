@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bugloom import vocabulary as V
+from bugloom.operators.codes import Codebook
 from bugloom.operators.embed import Embedder
 from bugloom.operators.parse import parse_submissions
 from bugloom.operators.search import flag_duplicates, search_submissions
@@ -30,12 +31,14 @@ def analyze(
     k: int = V.TOP_K,
     threshold: float = V.DUPLICATE_THRESHOLD,
     embedder: Embedder | None = None,
+    book: Codebook | None = None,
 ) -> Analysis:
     """Parse, gate, retrieve, flag duplicates, and look for fixes of what is new.
 
     Rejected submissions skip retrieval; duplicates skip the search for fixes. Every step is
     written below ``out_path`` and read by the next ones, so that nothing is computed twice
-    and a lost executor costs no more than its own tasks.
+    and a lost executor costs no more than its own tasks. With ``book`` the similar defects are
+    found by the stored codes of the chunks.
     """
     spark = submissions.sparkSession
 
@@ -45,7 +48,7 @@ def analyze(
 
     parsed = stored(actionable(parse_submissions(submissions)), "parsed")
     kept = parsed.filter("is_actionable")
-    found = search_submissions(kept, kb, k, embedder=embedder)
+    found = search_submissions(kept, kb, k, embedder=embedder, book=book)
     hits = stored(flag_duplicates(found, threshold), "hits")
     routing = stored(route(parsed, hits, threshold), "routing")
     new = routing.filter(F.col("route") == "root_cause").select("submission_id")

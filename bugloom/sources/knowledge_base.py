@@ -1,4 +1,8 @@
-"""The knowledge base: a Parquet table of embedded chunks, partitioned by source."""
+"""The knowledge base: a Parquet table of embedded chunks, partitioned by source.
+
+Beside it lies a filter of the stored keys (``key_filter``), so that an append compares only what
+may be stored, and reads ids of only those sources that may hold it.
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -6,20 +10,24 @@ from pyspark.sql import types as T
 
 from bugloom import vocabulary as V
 from bugloom.operators.chunk import chunk_defects
+from bugloom.operators.codes import Codebook, with_codes
 from bugloom.operators.embed import Embedder, embed_text
 from bugloom.schema import CHUNK_COLUMNS
 from bugloom.session import staged
+from bugloom.sources.key_filter import KEY, add_keys, possibly_stored, same_key
 from bugloom.sources.load import path_kind
 
-COLUMNS = (*CHUNK_COLUMNS, "embedding")
+COLUMNS = (*CHUNK_COLUMNS, "embedding", "code")
 _TYPES = {
     "has_stack_trace": T.BooleanType(),
     "chunk_index": T.IntegerType(),
     "n_chunks": T.IntegerType(),
     "embedding": T.ArrayType(T.FloatType()),
+    "code": T.BinaryType(),
 }
 SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in COLUMNS])
 
+
 def read_kb(spark: SparkSession, path: str) -> DataFrame:
     """All chunks; an absent table is empty. Unread columns are never scanned."""
     if path_kind(spark, path) is None:
@@ -31,31 +39,78 @@ def count_chunks(spark: SparkSession, path: str) -> int:
     return read_kb(spark, path).count()
 
 
-_DEFECT = ["source", "defect_id"]
 _UID = "_uid"
 
 
-def _skipped(batch: DataFrame, stored: DataFrame, version: Column, *inside: str) -> DataFrame:
-    """Numbers of the batch's rows that are not to be inserted, from narrow columns alone.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a number; no source and an empty one are the same, as folders tell them alike."""
+    own = rows.withColumn("source", F.nullif("source", F.lit("")))
+    return own.withColumn(_UID, F.monotonically_increasing_id())
 
-    A defect that is stored stays as it is. Of a defect's versions in the batch, the one with
-    the least hash is taken, and of repeated rows of it the first.
-    """
-    rows = batch.select(*_DEFECT, *inside, _UID, version.alias("_version"))
-    known = stored.select(*_DEFECT).distinct()
-    least = rows.groupBy(*_DEFECT).agg(F.min("_version").alias("_version"))
-    chosen = rows.join(least, [*_DEFECT, "_version"]).join(known, _DEFECT, "left_anti")
-    taken = chosen.groupBy(*_DEFECT, *inside).agg(F.min(_UID).alias(_UID)).select(_UID)
-    return rows.select(_UID).join(taken, _UID, "left_anti")
 
+def stored_keys(keys: DataFrame, path: str) -> DataFrame:
+    """``source, defect_id, missing``: which of the keys are stored, and whether chunks lack.
 
-def _new_rows(batch: DataFrame, stored: DataFrame, version: Column, *inside: str) -> DataFrame:
-    """The batch without skipped rows: texts are shuffled only if many rows are skipped."""
-    return batch.join(_skipped(batch, stored, version, *inside), _UID, "left_anti").drop(_UID)
+    Ids are read of the sources that the filter does not rule out, and compared exactly.
+    """
+    spark = keys.sparkSession
+    stored = read_kb(spark, path)
+    possible = possibly_stored(keys, path)
+    if possible is None:
+        possible = keys
+    else:
+        # The sources are the table's folders: few by its layout.
+        named = [r["source"] for r in possible.select("source").distinct().collect()]
+        known = F.col("source").isin([n for n in named if n is not None])
+        stored = stored.filter(known | F.col("source").isNull() if None in named else known)
+    chunks = stored.select(*KEY, "chunk_index", "n_chunks").alias("s").join(
+        possible.distinct().alias("p"), same_key("s", "p"), "left_semi"
+    )
+    return chunks.groupBy(*KEY).agg(
+        (F.count_distinct("chunk_index") < F.max("n_chunks")).alias("missing")
+    )
+
+
+def _chosen(batch: DataFrame, version: Column, *inside: str) -> DataFrame:
+    """Key and number of the rows that stand for the batch's defects, from narrow columns alone.
+
+    Of a defect's versions the one with the least hash is taken, and of repeated rows the first.
+    """
+    rows = batch.select(*KEY, *inside, _UID, version.alias("_version"))
+    least = rows.groupBy(*KEY).agg(F.min("_version").alias("_version"))
+    own = rows.alias("r").join(least.alias("l"), same_key("r", "l", "_version")).select("r.*")
+    return own.groupBy(*KEY, *inside).agg(F.min(_UID).alias(_UID))
+
+
+def _insert(batch: DataFrame, path: str, version: Column, inside: tuple, to_chunks, embedder, book):
+    """Write the chunks of absent defects, and those that a stored defect lacks."""
+    with staged(_chosen(batch, version, *inside), "chosen") as chosen:
+        keys = chosen.select(*KEY).distinct()
+        with staged(stored_keys(keys, path), "stored-keys") as known:
+            whole = known.filter("not missing")
+            taken = chosen.alias("c").join(whole.alias("w"), same_key("c", "w"), "left_anti")
+            skipped = batch.select(_UID).join(taken.select(F.col(f"c.{_UID}")), _UID, "left_anti")
+            chunks = to_chunks(batch.join(skipped, _UID, "left_anti").drop(_UID))
+            lacking = known.filter("missing")
+            if not lacking.isEmpty():
+                there = read_kb(batch.sparkSession, path).select(*KEY, "chunk_index").alias("s").join(
+                    lacking.alias("k"), same_key("s", "k"), "left_semi"
+                )
+                chunks = chunks.alias("n").join(
+                    there.alias("t"), same_key("n", "t", "chunk_index"), "left_anti"
+                )
+            embedded = embed_text(chunks, "text", "embedding", embedder)
+            if path_kind(batch.sparkSession, path) is not None and possibly_stored(keys, path) is None:
+                # A table from before there was a filter.
+                add_keys(read_kb(batch.sparkSession, path).select(*KEY), path)
+            add_keys(keys.alias("c").join(known.alias("w"), same_key("c", "w"), "left_anti"), path)
+            _write(with_codes(embedded, book) if book else embedded, path, "append")
 
 
 def _write(chunks: DataFrame, path: str, mode: str) -> None:
     """Few files per source, and no task with a whole large source."""
+    if "code" not in chunks.columns:
+        chunks = chunks.withColumn("code", F.lit(None).cast("binary"))
     rows = chunks.select(*COLUMNS).hint("rebalance", "source")
     rows.write.mode(mode).partitionBy("source").parquet(path)
 
@@ -66,20 +121,24 @@ def append_records(
     embedder: Embedder | None = None,
     size: int = V.CHUNK_SIZE,
     overlap: int = V.CHUNK_OVERLAP,
+    book: Codebook | None = None,
 ) -> None:
     """Chunk, embed and insert the records whose defect is absent, one version of each.
 
-    Repeating the call adds nothing.
+    A null source or id is a value like others: one version of it is stored. Repeating the call
+    adds nothing, and completes a defect of which a failed call left some chunks only. With
+    ``book``, chunks carry their codes.
     """
-    numbered = records.withColumn(_UID, F.monotonically_increasing_id())
-    with staged(numbered, "records") as batch:
-        stored = read_kb(records.sparkSession, path)
-        new = _new_rows(batch, stored, F.xxhash64(*records.columns))
-        chunks = chunk_defects(new, size, overlap)
-        _write(embed_text(chunks, "text", "embedding", embedder), path, "append")
+    with staged(_numbered(records), "records") as batch:
+        _insert(
+            batch, path, F.xxhash64(*records.columns), (),
+            lambda new: chunk_defects(new, size, overlap), embedder, book,
+        )
 
 
-def append_chunks(chunks: DataFrame, path: str, embedder: Embedder | None = None) -> None:
+def append_chunks(
+    chunks: DataFrame, path: str, embedder: Embedder | None = None, book: Codebook | None = None
+) -> None:
     """Embed and insert the chunks of absent defects. Repeating the call adds nothing.
 
     A defect's chunks come whole: those of one version, which agree on all but the text, its
@@ -87,13 +146,12 @@ def append_chunks(chunks: DataFrame, path: str, embedder: Embedder | None = None
     """
     apart = {"chunk_id", "chunk_index", "text"}
     version = F.xxhash64(*[c for c in chunks.columns if c not in apart])
-    numbered = chunks.withColumn(_UID, F.monotonically_increasing_id())
-    with staged(numbered, "chunks") as batch:
-        stored = read_kb(chunks.sparkSession, path)
-        new = _new_rows(batch, stored, version, "chunk_id")
-        _write(embed_text(new, "text", "embedding", embedder), path, "append")
+    with staged(_numbered(chunks), "chunks") as batch:
+        _insert(batch, path, version, ("chunk_id",), lambda new: new, embedder, book)
 
 
 def reset_kb(spark: SparkSession, path: str) -> None:
-    """Make the table empty."""
-    _write(spark.createDataFrame([], SCHEMA), path, "overwrite")
+    """Make the table and its filter empty."""
+    empty = spark.createDataFrame([], SCHEMA)
+    _write(empty, path, "overwrite")
+    add_keys(empty, path, "overwrite")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bugloom import vocabulary as V
+from bugloom.operators.codes import Codebook
 from bugloom.operators.embed import Embedder
 from bugloom.operators.parse import log_lines, parse_submissions
 from bugloom.operators.search import flag_duplicates, search_submissions
@@ -29,6 +30,19 @@ def _batch_folder(out_path: str, checkpoint: str, batch_id: int) -> str:
     return f"{out_path}/run={run}/batch={batch_id}"
 
 
+def once_per_id(
+    stream: DataFrame, key: str, time_col: str | None = None, within: str | None = None
+) -> DataFrame:
+    """The first row of each id, by keyed state in the stream's checkpoint.
+
+    Without ``within`` all ids are kept; with it, those of rows up to that long behind the latest
+    ``time_col``, so that the state is bounded by the rows of that span.
+    """
+    if within is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(time_col, within).dropDuplicatesWithinWatermark([key])
+
+
 def match_submissions(
     stream: DataFrame,
     kb_path: str,
@@ -38,31 +52,43 @@ def match_submissions(
     threshold: float = V.DUPLICATE_THRESHOLD,
     embedder: Embedder | None = None,
     once: bool = False,
+    book: Codebook | None = None,
+    time_col: str | None = None,
+    within: str | None = None,
 ) -> StreamingQuery:
     """Rank similar defects for every arriving submission, once per submission id.
 
-    Each micro-batch overwrites its own folder, named by checkpoint and number, so a batch
-    repeated after a failure leaves its findings once, and a new checkpoint on the same output
-    replaces nothing. A submission already in another folder is not matched again. The
-    knowledge base is read anew per batch.
+    Seen ids are state of the stream (``once_per_id``), also those without any hit; earlier
+    findings of the same checkpoint are not read. Each micro-batch overwrites its own folder,
+    named by checkpoint and number, so a batch repeated after a failure leaves its findings once,
+    and a new checkpoint on the same output replaces nothing. Submissions with findings of another
+    checkpoint are not matched again. The knowledge base is read anew per batch, by its codes if
+    ``book`` is given.
     """
+    run = _batch_folder(out_path, checkpoint, 0).rpartition("/")[0]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = _batch_folder(out_path, checkpoint, batch_id)
-        fresh = batch.dropDuplicates(["submission_id"])
-        if path_kind(spark, out_path) is not None:
-            done = read_matches(spark, out_path)
-            if done is not None:
-                place = own.rpartition("run=")[2]
-                others = done.filter(~F.col("_metadata.file_path").contains(f"{place}/"))
-                ids = others.select("submission_id").distinct()
-                fresh = fresh.join(ids, "submission_id", "left_anti")
+        fresh = batch
+        others = [p for p in _run_folders(spark, out_path) if p.rpartition("/")[2] != run.rpartition("/")[2]]
+        if others:
+            done = spark.read.parquet(*[f"{p}/batch=*" for p in others])
+            ids = done.select("submission_id").distinct()
+            fresh = fresh.join(ids, "submission_id", "left_anti")
         with staged(parse_submissions(spread(fresh)), "arrived") as parsed:
-            hits = search_submissions(parsed, read_kb(spark, kb_path), k, embedder=embedder)
-            flag_duplicates(hits, threshold).write.mode("overwrite").parquet(own)
+            hits = search_submissions(parsed, read_kb(spark, kb_path), k, embedder=embedder, book=book)
+            flag_duplicates(hits, threshold).write.mode("overwrite").parquet(
+                _batch_folder(out_path, checkpoint, batch_id)
+            )
 
-    return _run(stream, step, checkpoint, once)
+    return _run(once_per_id(stream, "submission_id", time_col, within), step, checkpoint, once)
+
+
+def _run_folders(spark: SparkSession, out_path: str) -> list[str]:
+    """Folders of the checkpoints that have stored a batch below an output."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(out_path, "run=*/batch=*/_SUCCESS")
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or []
+    return sorted({s.getPath().getParent().getParent().toString() for s in found})
 
 
 def read_matches(spark: SparkSession, out_path: str) -> DataFrame | None:
@@ -129,6 +155,11 @@ def keep_level_counts(
 
 
 def read_level_counts(spark: SparkSession, out_path: str) -> DataFrame:
-    """The latest count of every window and level, by one checkpoint's batches."""
-    stored = spark.read.parquet(f"{out_path}/run=*/batch=*")
-    return stored.groupBy("window_start", "window_end", "level").agg(F.max("n").alias("n"))
+    """The count of every window and level: the latest of each checkpoint, and their sum.
+
+    Checkpoints are runs over different lines, such as those of different hosts.
+    """
+    stored = spark.read.option("basePath", out_path).parquet(f"{out_path}/run=*/batch=*")
+    window = ["window_start", "window_end", "level"]
+    latest = stored.groupBy("run", *window).agg(F.max("n").alias("n"))
+    return latest.groupBy(*window).agg(F.sum("n").alias("n"))

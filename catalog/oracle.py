@@ -788,6 +788,13 @@ def best_of(source: str, name: str = "best") -> str:
 OTHERS = "q.vec_id <> c.vec_id"
 _TOP5 = with_parts(pairs(OTHERS), ranked("pairs", 5))
 ORACLES["vector_topk"] = _TOP5 + "SELECT * FROM ranked"
+ORACLES["grid_topk"] = ORACLES["vector_topk"]
+# On the tables of the check the shortlists hold all exact neighbours.
+ORACLES["coded_topk"] = ORACLES["vector_topk"]
+ORACLES["kb_append_null_keys"] = """
+SELECT DISTINCT CASE WHEN doc_id % 5 > 1 THEN nullif(source, '') END AS source,
+  CASE WHEN doc_id % 4 > 0 THEN 'doc-' || doc_id END AS defect_id, CAST(1 AS BIGINT) AS stored
+FROM documents"""
 ORACLES["filtered_topk"] = (
     with_parts(pairs(OTHERS + " AND c.label = 3"), ranked("pairs", 5)) + "SELECT * FROM ranked"
 )
@@ -1028,3 +1035,7 @@ SELECT text || chr(10) AS raw_text, octet_length(encode(text)) + 1 AS size FROM
 ORACLES["log_file_findings"] = with_parts(
     f"lines AS (SELECT event_id AS submission_id, {LOG_LINE} AS line, 1 AS n FROM events)", entries()
 ) + "SELECT level, count(*) AS n FROM entries GROUP BY level"
+
+# A stream in parts, or two streams into one table, give what one pass gives.
+ORACLES["stream_replayed_matches"] = ORACLES["stream_submission_matches"]
+ORACLES["stream_levels_of_two_hosts"] = ORACLES["stream_level_windows"]

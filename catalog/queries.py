@@ -11,7 +11,7 @@ from bugloom.functions.language import LANGUAGES, detect_language, language_scor
 from bugloom.functions.reports import first_line
 from bugloom.functions.text import clean_text
 from bugloom.functions.vocab_maps import guess_severity
-from bugloom.operators import chunk, embed, evaluate, normalize, parse, patterns, search, stats
+from bugloom.operators import chunk, codes, embed, evaluate, normalize, parse, patterns, search, stats
 from bugloom.operators import triage
 from bugloom.plans.analyze import analyze
 from bugloom.plans.build import build_kb
@@ -344,6 +344,24 @@ def kb_append_versions(spark, sf_dir):
     ).toDF("defect_id", "versions", "whole", "single")
 
 
+def kb_append_null_keys(spark, sf_dir):
+    """Documents with absent ids and sources among them, appended twice: each key is stored once.
+
+    The second call brings every third document again, and others of the same keys.
+    """
+    records, path = document_records(spark, sf_dir), scratch(spark, "kb")
+    number = F.substring("defect_id", 5, 20).cast("bigint")
+    keyed = records.withColumns({
+        "source": F.when(number % 5 == 0, F.lit(None)).when(number % 5 == 1, "").otherwise(F.col("source")),
+        "defect_id": F.when(number % 4 == 0, F.lit(None)).otherwise(F.col("defect_id")),
+    })
+    append_records(keyed.filter(number % 3 == 0), path)
+    append_records(keyed, path)
+    return read_kb(spark, path).filter("chunk_index = 0").groupBy("source", "defect_id").agg(
+        F.count("*").alias("stored")
+    )
+
+
 def kb_build(spark, sf_dir):
     """The build job over a CSV export of the tracker rows."""
     rows = view(spark, sf_dir, compose.BUGZILLA_ROWS, "orders", "customer")
@@ -569,6 +587,42 @@ def bucket_recall(spark, sf_dir):
     return rows[0].unionByName(rows[1]).select("search", "neighbours", "found", "recall")
 
 
+def grid_topk(spark, sf_dir):
+    """The exact search by blocks of queries and chunks, however few the queries are."""
+    kb = vectors(spark, sf_dir)
+    return _hits(search.top_chunks(vector_queries(kb), kb, block_bytes=32 << 10))
+
+
+def _coded(spark, sf_dir) -> tuple[DataFrame, codes.Codebook | None]:
+    """All vectors stored with their codes, and the codebook, stored and read again."""
+    kb, stored = vectors(spark, sf_dir), scratch(spark, "coded")
+    book = codes.learn(kb)
+    if book is None:
+        return kb.withColumn("code", F.lit(None).cast("binary")), None
+    codes.write_book(spark, book, stored + "-book")
+    book = codes.read_book(spark, stored + "-book")
+    codes.with_codes(kb, book).write.parquet(stored)
+    return spark.read.parquet(stored), book
+
+
+def coded_topk(spark, sf_dir):
+    """The nearest chunks of all vectors by stored codes and exactly scored shortlists."""
+    kb, book = _coded(spark, sf_dir)
+    return _hits(search.top_chunks(vector_queries(kb), kb, book=book))
+
+
+def coded_recall(spark, sf_dir):
+    """The share of the exact nearest neighbours that the codes find, and of the bytes read."""
+    kb, book = _coded(spark, sf_dir)
+    queries, stored = vector_queries(kb), scratch(spark, "exact")
+    search.top_chunks(queries, kb).write.parquet(stored)
+    found = search.top_chunks(queries, kb, book=book)
+    share = codes.bytes_share(book, kb.count(), codes.SHORTLIST * V.TOP_K) if book else 0.0
+    return evaluate.bucket_recall(spark.read.parquet(stored), found).withColumn(
+        "bytes_share", F.round(F.lit(share), 4)
+    )
+
+
 def duplicate_candidates(spark, sf_dir):
     return _hits(search.duplicates_within(vectors(spark, sf_dir), threshold=DUPLICATE_LEVEL))
 
@@ -752,6 +806,42 @@ def stream_submission_matches(spark, sf_dir):
     )
 
 
+def stream_replayed_matches(spark, sf_dir):
+    """Benchmark texts in four micro-batches, each text in two of them, and a run after the end.
+
+    The second run sees one more file of texts that all came before. Ids are matched once.
+    """
+    kb_path, out, inbox = (scratch(spark, n) for n in ("kb", "matches", "inbox"))
+    append_chunks(document_chunks(spark, sf_dir), kb_path)
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.col("item_id").alias("submission_id"),
+        F.lit(None).cast("string").alias("source_filename"),
+        F.col("text").alias("raw_text"),
+    )
+    for part in (0, 1):
+        texts.repartition(2, F.col("submission_id") + part).write.mode("append").parquet(inbox)
+    for _ in range(2):
+        arriving = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        match_submissions(
+            arriving, kb_path, out, out + "-state", threshold=DUPLICATE_LEVEL, once=True
+        ).awaitTermination()
+        texts.coalesce(1).write.mode("append").parquet(inbox)
+    return _hits(read_matches(spark, out)).select(
+        "submission_id", "rank", "defect_id", "score", "is_duplicate"
+    )
+
+
+def stream_levels_of_two_hosts(spark, sf_dir):
+    """The events of two hosts, a stream with a checkpoint each, into one table of counts."""
+    path = scratch(spark, "levels")
+    events = _stream(spark, sf_dir, "events")
+    for host in (0, 1):
+        lines = _event_lines(events.filter(F.col("event_id") % 2 == host))
+        counts = level_counts_by_window(lines, "ts", late="10 minutes")
+        keep_level_counts(counts, path, f"{path}-state{host}", once=True).awaitTermination()
+    return _window_text(read_level_counts(spark, path))
+
+
 def stream_kb(spark, sf_dir):
     """Feed the stream of documents into the knowledge base."""
     path = scratch(spark, "kb")
@@ -777,10 +867,12 @@ QUERIES = {
         artifact_types, report_fields, submission_titles, first_lines, key_signals,
         report_signals, normalized_texts, parsed_submissions, submission_records, vector_topk,
         filtered_topk, defect_topk, overfetched_topk, bucketed_topk, probed_topk, bucket_recall,
+        grid_topk, coded_topk, coded_recall, kb_append_null_keys,
         duplicate_candidates,
         duplicate_counts, embedded_documents, text_search, submission_search, recall_at_k,
         threshold_sweep, fix_notes, triage_routes, log_findings, exception_patterns,
         defect_cube, duplicate_families, stream_level_windows, stream_submission_matches,
+        stream_replayed_matches, stream_levels_of_two_hosts,
         stream_kb,
     )
 }
