@@ -1,8 +1,10 @@
 """Helpers the operators share: words, hashes, id ranges, staged tables."""
 
+import ctypes
 import math
 import uuid
 import zlib
+from collections.abc import Callable, Hashable
 
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -140,3 +142,29 @@ def in_runs(batch, text: str = "text", most_bytes: int = 1_000_000):
         size += n
     if batch.num_rows > first:
         yield batch.slice(first)
+
+
+_MEMORY: dict[Hashable, object] = {}
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def worker_memory(owner: Hashable | None = None, make: Callable[[], object] | None = None):
+    """What tasks of one operator keep in a Python worker between them; one owner at a time.
+
+    A task of another operator drops it, so that memories don't add up over the stages of a job.
+    Tasks that keep nothing call it without an owner.
+    """
+    if owner is None or owner not in _MEMORY:
+        if _MEMORY:
+            _MEMORY.clear()
+            release_memory()
+        if owner is not None:
+            _MEMORY[owner] = make()
+    return _MEMORY.get(owner)

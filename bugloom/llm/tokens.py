@@ -12,6 +12,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
+from bugloom.llm.common import worker_memory
+
 # Fixed value: how the vocabulary's tokenizer cuts printable ASCII without white space inside.
 _ASCII_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
 _CONTROL = re.compile(r"[^!-~]")
@@ -138,11 +140,6 @@ class Encoder:
                 gc.enable()
 
 
-_ENCODERS: dict[str | None, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
-    """This worker's encoder: it is loaded once, and its memory outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder, kept between tasks until another operator's tasks come."""
+    return worker_memory(("encoder", path), lambda: Encoder(path))

@@ -16,14 +16,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from math import exp, log
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bugloom.llm.common import crc32_remainder, in_runs
+from bugloom.llm.common import crc32_remainder, in_runs, worker_memory, written
 from bugloom.llm.labelled import FIT_ROWS, labelled_documents, sampled_labels
 
 THRESHOLD = 0.3
@@ -42,10 +41,8 @@ SEPARATORS = ".-_*~'`^·"
 EDGES = ".,;:!?\"'()[]{}*%&#<>|-_~…“”«»"
 # Costs of the channel, as logarithms.
 SUBSTITUTED, STRETCHED, SHORTENED, SEPARATED = -1.5, -0.5, -4.0, -1.0
-# Longer tokens hold more than a word: passages of letters apart, addresses, markup.
-LONG = 64
-# Places of the lattice after which the beginning of a reading is settled.
-LOOKAHEAD = 128
+# Places of the lattice after which it is seen whether all readings begin alike by now.
+SETTLE = 128
 
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _STRETCH = re.compile(r"(.)\1\1")
@@ -84,6 +81,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
     """Logarithms P(c | a, b) from counts over all documents: partial sums, then one per triple."""
 
     def run(batches):
+        worker_memory()
         table, total = _sign_table(), np.zeros(SIGNS**3, np.int64)
         for batch in (part for whole in batches for part in in_runs(whole)):
             total += trigram_counts(batch.column("text").to_pylist(), table)
@@ -131,48 +129,88 @@ def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
         yield options
 
 
-def settled(states: dict) -> tuple[str, dict]:
-    """What all readings begin with, and the states without it.
+def _settled(states: dict) -> str:
+    """What all readings begin with, cut off from them; nothing while they still differ.
 
-    Where readings still differ ``LOOKAHEAD`` letters back, the likeliest decides.
+    A reading is a chain of [reading before, letters], one link per place, so chains are walked
+    back in step; ``4 * SETTLE`` links at most, as those that differ longer are kept as they are.
     """
-    texts = [t for _, t in states.values()]
-    head = commonprefix([min(texts), max(texts)])
-    if max(map(len, texts)) - len(head) > 2 * LOOKAHEAD:
-        head = max(states.values())[1][:-LOOKAHEAD]
-    return head, {
-        k: (s, t[len(head):]) for k, (s, t) in states.items() if t.startswith(head)
-    }
-
-
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a token; gaps in it separate words.
-
-    Readings are kept from the place on where they differ, so the work grows with the token's
-    length and not with its square.
+    nodes = {id(n): n for _, n in states.values()}
+    for _ in range(4 * SETTLE):
+        if len(nodes) == 1:
+            break
+        nodes = {id(n[0]): n[0] for n in nodes.values() if n[0] is not None}
+        if not nodes:
+            return ""
+    if len(nodes) != 1:
+        return ""
+    trunk = next(iter(nodes.values()))
+    head = _letters(trunk)
+    trunk[0], trunk[1] = None, ""
+    return head
+
+
+def _letters(node: list | None) -> str:
+    parts = []
+    while node is not None:
+        parts.append(node[1])
+        node = node[0]
+    return "".join(reversed(parts))
+
+
+def decode(token: str, model: list) -> str:
+    """The likeliest reading of a token of any length; gaps in it separate words.
+
+    ``model`` is nested lists of logarithms. What all readings share is cut off as they meet, so
+    work and memory grow with the token's length.
     """
-    states, done = {(0, 0): (0.0, "")}, []
+    states, done = {(0, 0): (0.0, None)}, []
     for at, options in enumerate(lattice(token), 1):
         after: dict = {}
-        for (a, b), (score, text) in states.items():
+        for (a, b), (score, before) in states.items():
             for letters, cost in options:
                 x, y, s = a, b, score + cost
                 for c in letters:
                     if c == " ":
-                        s += float(model[x, y, 0])
+                        s += model[x][y][0]
                         x, y = 0, 0
                     else:
                         z = sign(c)
-                        s += float(model[x, y, z])
+                        s += model[x][y][z]
                         x, y = y, z
-                if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = (s, text + letters)
+                found = after.get((x, y))
+                if found is None or found[0] < s:
+                    after[x, y] = (s, [before, letters])
         states = after
-        if at % LOOKAHEAD == 0:
-            head, states = settled(states)
-            done.append(head)
-    best = max((s + float(model[a, b, 0]), t) for (a, b), (s, t) in states.items())
-    return "".join(done) + best[1]
+        if at % SETTLE == 0:
+            done.append(_settled(states))
+    best = max(((s + model[a][b][0], n) for (a, b), (s, n) in states.items()), key=lambda x: x[0])
+    return "".join(done) + _letters(best[1])
+
+
+def single_or_twice(word: str, model: list) -> str:
+    """The likeliest reading of a word of letters none of which comes more than twice in a row.
+
+    The lattice of such a word offers one or two of a doubled letter. After the next letter both
+    readings end in the same two, so each doubled letter is decided by itself: the signs before it
+    and the next one tell.
+    """
+    signs = [0, 0, *map(sign, word), 0]
+    out, at, n = [], 0, len(word)
+    while at < n:
+        c = word[at]
+        if at + 1 < n and word[at + 1] == c:
+            before, own, after = signs[at + 1], signs[at + 2], signs[at + 4]
+            twice = model[before][own][own] + model[own][own][after]
+            if twice < model[before][own][after] + SHORTENED:
+                out.append(c)
+            else:
+                out.append(c + c)
+            at += 2
+        else:
+            out.append(c)
+            at += 1
+    return "".join(out)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -189,24 +227,20 @@ def tokens(text: str | None) -> list[str]:
 
 
 class Restorer:
-    """Restored words of tokens, with a bounded memory."""
+    """Restored words of tokens."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model = model.tolist()
 
     def words(self, token: str) -> list[str]:
         plain = token.strip(EDGES)
         if _PLAIN.match(plain) and not _STRETCH.search(plain):
-            # A letter twice may be once; the lattice drops one where the model finds both unlikely.
-            return decode(plain, self.model).split() if _TWICE.search(plain) else [plain]
+            return [single_or_twice(plain, self.model) if _TWICE.search(plain) else plain]
         if not any(map(str.isalnum, token)):
             return []
         # At the ends these signs are punctuation; a first "!" or "(" may be a letter.
         kept = token.lstrip(".,;:?\"')[]{}*%&#<>~").rstrip(".,;:?!\"'()[]{}*%&#<>~")
-        read = decode(kept, self.model)
-        if len(kept) > LONG:
-            return _LETTERS.findall(read)
-        return [w for w in (r.strip(EDGES) for r in read.split()) if w]
+        return _LETTERS.findall(decode(kept, self.model))
 
     def restore(self, text: str | None) -> str:
         return " ".join(w for t in tokens(text) for w in self.words(t))
@@ -224,6 +258,7 @@ def bucket_counts(labelled: DataFrame, model) -> np.ndarray:
     """Documents that hold a bucket, by fold and label: [fold, label, bucket]; last: of all."""
 
     def run(batches):
+        worker_memory()
         restorer, total = Restorer(model.value), np.zeros((2, 2, BUCKETS + 1), np.int64)
         known: dict = {}
         columns = ("doc_id", "text", "label")
@@ -320,6 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS):
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(language_model(docs))
     sample = labelled_documents(docs, sampled_labels(labels, "toxic", MODULUS, HELD, most))
+    sample = written(sample, "labelled")  # about ``most`` rows
     counts = bucket_counts(sample, model)
     if not counts[:, :, BUCKETS].sum(0).all():
         return model, np.zeros(BUCKETS, np.float32), None
@@ -327,6 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS):
     other = spark.sparkContext.broadcast([evidence(counts[1]), evidence(counts[0])])
 
     def run(batches):
+        worker_memory()
         scorers = [Scorer(model.value, t) for t in other.value]
         for batch in (part for whole in batches for part in in_runs(whole)):
             rows = [
@@ -334,9 +371,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS):
                 for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             ]
             x = pa.array(rows, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([x, batch.column("label")], ["x", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), x, batch.column("label")], ["doc_id", "x", "label"]
+            )
 
-    rows = sample.mapInArrow(run, "x array<double>, label int").toPandas()  # about ``most`` rows
+    # About ``most`` rows, in one order whatever tasks made them.
+    rows = sample.mapInArrow(run, "doc_id bigint, x array<double>, label int").toPandas()
+    rows = rows.assign(order=rows["x"].map(tuple)).sort_values(["doc_id", "order", "label"])
     x = np.array(rows["x"].tolist()).reshape(-1, N_FEATURES)
     weights = fit_logistic(x, (rows["label"].to_numpy() > 0).astype(float))
     return model, evidence(counts.sum(0)), weights
@@ -354,6 +395,7 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFram
     schema = kept.withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
+        worker_memory()
         table, weights = told.value
         scorer = Scorer(model.value, table)
         for batch in (part for whole in batches for part in in_runs(whole)):

@@ -154,3 +154,19 @@ def test_gates_take_no_time(text):
     began = time.process_time()
     tox.tokens(text)
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("n", range(62, 68))
+def test_one_rule_for_all_lengths(n):
+    """Words at the ends of a token are read alike whatever its length."""
+    token = ("v1lla1n/" + "ab1-" * 30)[:n - 8] + "/v1lla1n"
+    got = tox.Restorer(model()).words(token)
+    assert len(token) == n and got[0] == got[-1] == "villain"
+
+
+def test_doubled_letters_are_read_as_by_the_lattice():
+    own, rng = model(), random.Random(6)
+    words = {"".join(c * rng.choice((1, 1, 2)) for c in w) for w in VOCABULARY for _ in range(40)}
+    for word in words:
+        if not tox._STRETCH.search(word):
+            assert tox.single_or_twice(word, own.tolist()) == tox.decode(word, own.tolist())
