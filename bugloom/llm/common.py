@@ -6,6 +6,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,13 +143,15 @@ def in_runs(batch, text: str = "text", most_bytes: int = 1_000_000):
         size += n
     if batch.num_rows > first:
         yield batch.slice(first)
+    release_memory()
 
 
 _MEMORY: dict[Hashable, object] = {}
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """Give freed memory back to the system, where Arrow and the C library can."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
