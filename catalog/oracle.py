@@ -789,7 +789,7 @@ OTHERS = "q.vec_id <> c.vec_id"
 _TOP5 = with_parts(pairs(OTHERS), ranked("pairs", 5))
 ORACLES["vector_topk"] = _TOP5 + "SELECT * FROM ranked"
 ORACLES["grid_topk"] = ORACLES["vector_topk"]
-# On the tables of the check the shortlists hold all exact neighbours.
+# At sf0.01, where both are compared, the shortlists hold all exact neighbours.
 ORACLES["coded_topk"] = ORACLES["vector_topk"]
 ORACLES["kb_append_null_keys"] = """
 SELECT DISTINCT CASE WHEN doc_id % 5 > 1 THEN nullif(source, '') END AS source,
