@@ -121,3 +121,77 @@ def test_embedded_elements_take_no_time(html):
     began = time.process_time()
     hc.main_text(html)
     assert time.process_time() - began < 20
+
+
+TWO = "<p>The first plain paragraph of it.</p><p>The second plain paragraph of it.</p>"
+TWO_TEXT = "The first plain paragraph of it.\nThe second plain paragraph of it."
+
+
+@pytest.mark.parametrize("body", [
+    f'<article class="overflow-hidden">{TWO}</article>',
+    f'<div class="overflow-hidden"><article>{TWO}</article></div>',
+    f'<div class="page has-sidebar"><article>{TWO}</article></div>',
+    f'<div aria-hidden="false"><article>{TWO}</article></div>',
+    f'<div data-id="comment"><article>{TWO}</article></div>',
+    f'<div title="class=ad hidden"><article>{TWO}</article></div>',
+    f'<div id="search-results-related"><main>{TWO}</main></div>',
+    f'<div class="comments"><main>{TWO}</main></div>',
+    f'<article>{TWO.replace("<p>", "<p class=share-price>")}</article>',
+    f'<article class="is-hidden-mobile">{TWO}</article>',
+    f'<div class="no-sidebar js-modal"><div class="story">{TWO}</div></div>',
+])
+def test_names_that_say_nothing_of_the_article(body):
+    assert hc.main_text(PAGE % body) == TWO_TEXT
+
+
+@pytest.mark.parametrize("opened, closed", [
+    ("<form method=post action='/'>", "</form>"), ('<div class="modal">', "</div>"),
+    ('<form id=f><div class="search">', "</div></form>"), ('<div id="header">', "</div>"),
+])
+def test_an_element_around_the_page_is_no_boilerplate(opened, closed):
+    inside = f"<h1>A head line</h1>{TWO}"
+    nav = '<div class="nav"><a href="/a">Home</a></div><div class=ad><p>Buy this now.</p></div>'
+    want = f"A head line\n{TWO_TEXT}"
+    assert hc.main_text(f"<body>{opened}{nav}<article>{inside}</article>{closed}</body>") == want
+    assert hc.main_text(f"<body>{opened}{nav}<div>{inside}</div>{closed}</body>") == want
+
+
+@pytest.mark.parametrize("part", [
+    f'<section class="comments-area">{TWO * 20}</section>', f'<div id="sidebar-left">{TWO}</div>',
+    f'<div class="ad-slot">{TWO}</div>', f'<div class="cookie-notice-2">{TWO}</div>',
+    f'<form class="contact">{TWO}</form>', f"<div hidden>{TWO}</div>", f"<div hidden=''>{TWO}</div>",
+    f'<div aria-hidden="true">{TWO}</div>', f'<div style="color:red; display : none">{TWO}</div>',
+    f'<div class="related-posts"><article>{TWO}</article></div>', f"<nav>{TWO}</nav>",
+    f'<section id="comments"><article class="comment">{TWO * 20}</article></section>',
+])
+def test_parts_named_as_boilerplate_are_dropped(part):
+    article = f"<article><h1>A head line</h1>{TWO}</article>"
+    for body in (article + part, part + article, f'<div class="page">{article}{part}</div>'):
+        assert hc.main_text(f"<body>{body}</body>") == f"A head line\n{TWO_TEXT}"
+
+
+def test_signs_for_content_do_not_add_up():
+    page = (
+        '<main class="content"><article class="post"><div class="entry-content"><div class="body">'
+        '<p>First paragraph is here.</p><div class="ad"><p>' + "Buy this now, it is great. " * 20
+        + "</p></div><p>Second one is here.</p></div></div></article></main>"
+    )
+    assert hc.main_text(page) == "First paragraph is here.\nSecond one is here."
+
+
+@pytest.mark.parametrize("html", [
+    "<form>" * 50_000 + "<p>Some text is here.</p>", "<div class=ad><p>Word is here.</p></div>" * 20_000,
+    "<div " + "a=1 " * 100_000 + "class=ad><p>x", "<div class='" + "ad-" * 100_000 + "'><p>x",
+    "<div class=ad><p>One is here.</p>" * 20_000,
+])
+def test_signs_take_no_time(html):
+    began = time.process_time()
+    hc.main_text(html)
+    assert time.process_time() - began < 20
+
+
+def test_pages_far_above_a_slice(spark):
+    page = PAGE % f"<article>{TWO * 20_000}</article>"
+    pages = spark.createDataFrame([(k, page) for k in range(3)], "page_id int, html string")
+    want = len("\n".join([TWO_TEXT] * 20_000))
+    assert [r["n_chars"] for r in hc.extracted(pages.coalesce(1)).collect()] == [want] * 3
