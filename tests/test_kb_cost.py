@@ -1,13 +1,18 @@
 """Work per stored chunk: vectors from sparse counts, versions hashed once, line tails in linear time."""
 
+import gzip
+import html
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from bugloom.functions import text
 from bugloom.functions.text import clean_text
 from bugloom.operators import embed
 from bugloom.session import staged
 from bugloom.sources import knowledge_base as kb
+from bugloom.sources.tracker_csv import _headers
 from tests.test_keys import records
 
 
@@ -58,3 +63,32 @@ def _check_choice(batch, chosen):
     assert set(hashed) == {("x", "a"), (None, None)}
     least = batch.orderBy("_version", "_uid").filter("defect_id = 'a'").first()
     assert hashed[("x", "a")]["_uid"] == least["_uid"]
+
+
+def test_plain_entities_stay_in_the_jvm(spark, monkeypatch):
+    texts = ["&lt;a&gt; &amp;lt; &quot;x&#39;", "&amp;amp;amp;", "AT&T", "&lt", "&lt;&nbsp;", "&#60;", "&", "&ampx; &amp;", "",
+             "&&lt;;", "&#39", "&lt;&#x26;lt;", "&notit; &amp;#39;", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in rows.select(text.unescape_entities(F.col("text"))).collect()]
+    assert got == [None if t is None else html.unescape(t) for t in texts]
+    # Only texts with another ampersand are given to Python.
+    monkeypatch.setattr(text, "_unescape", lambda given: F.when(given.isNotNull(), "Python"))
+    got = [r[0] for r in rows.select(text.unescape_entities(F.col("text"))).collect()]
+    assert [t for t, g in zip(texts, got) if g != "Python"] == [texts[0], texts[1], "", None]
+
+
+def test_headers_are_read_without_the_rows(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    (folder / "one.csv").write_bytes(b"\xef\xbb\xbfid,Title\r\n" + b"1,x\n" * 9)
+    (folder / "two.csv.gz").write_bytes(gzip.compress(b'"id","a,b"\n2,y\n'))
+    (folder / "empty.csv").write_bytes(b"")
+    (folder / "bare.csv").write_bytes(b"id,Title")
+    (folder / "notes.txt").write_bytes(b"no header")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    found = _headers(spark, str(folder))
+    assert not jobs.getJobIdsForGroup("headers")  # a job read every line before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    names = {head: [f.rsplit("/", 1)[1] for f in files] for head, files in found.items()}
+    assert names == {("id", "Title"): ["bare.csv", "one.csv"], ("id", "a,b"): ["two.csv.gz"]}
