@@ -1,4 +1,4 @@
-"""XML tracker exports: one folder per product, one file per report attribute."""
+"""XML tracker exports: one folder per product, one file per report attribute, compressed or not."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,16 +9,21 @@ from bugloom.sources.tracker_csv import POSITION, position
 
 _REPORT = "_id string, opening_time string, reporter string"
 _UPDATES = "_id string, update array<struct<what:array<string>>>"
+# Endings of files: plain, and those of Hadoop's codecs.
+ENDINGS = "{.xml,.xml.gz,.xml.bz2,.xml.zst,.xml.lz4,.xml.snappy,.xml.deflate}"
 
 
 def _scan(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """Rows of ``<product>/<name>.xml`` in all products, not of files beside the folders."""
+    """Rows of ``<product>/<name>.xml`` in all products, not of files beside the folders.
+
+    Compressed files have the ending of their codec after that.
+    """
     root = root.rstrip("/")
     # File paths come URL-encoded, but for plus signs.
     folders = F.split(F.replace(F.col(f"{POSITION}.file"), F.lit("+"), F.lit("%2B")), "/")
     return (
         spark.read.format("xml")
-        .options(rowTag="report", pathGlobFilter=f"{name}.xml")
+        .options(rowTag="report", pathGlobFilter=f"{name}{ENDINGS}")
         .schema(schema)
         .load(f"{root}/*")
         .withColumn(POSITION, position())

@@ -7,6 +7,7 @@ from bugloom.operators.normalize import normalize_headers, normalize_jira
 from bugloom.sources.load import load_all, load_source, sample_paths
 from bugloom.sources.submissions import read_log_lines, read_submissions
 from bugloom.sources.tracker_csv import read_export
+from catalog import queries
 
 JIRA = '''Key , Project,issuetype.name,Summary,description,priority,status,resolution,components,"duplicate_of",resolution_note
 AB-1,,Bug,"t1 &lt;b&gt; ""q""","Traceback (most recent call last):
@@ -117,6 +118,30 @@ def test_xml_records(spark, exports):
     assert rows[1].resolution == "unresolved" and rows[1].component == ""
 
 
+def test_compressed_xml_files(spark, exports, tmp_path):
+    """Of one product compressed, of another plain: the same records as from plain files."""
+    for file in (exports / "xml").glob("*/*.xml"):
+        to = tmp_path / "xml" / file.parent.name
+        to.mkdir(parents=True, exist_ok=True)
+        if to.name == "A":
+            (to / file.name).write_bytes(file.read_bytes())
+        else:
+            (to / f"{file.name}.gz").write_bytes(gzip.compress(file.read_bytes()))
+    plain, packed = (load_source(spark, "mozilla", str(p / "xml")) for p in (exports, tmp_path))
+    assert plain.exceptAll(packed).count() == packed.exceptAll(plain).count() == 0
+    assert packed.count() == plain.count() > 0
+
+
+def test_xml_export_is_written_compressed(spark, tmp_path):
+    names = "bug_id creation_ts reporter short_desc bug_severity priority bug_status resolution component"
+    rows = spark.createDataFrame([tuple(f"{k} {c}" for c in names.split()) for k in range(2000)], names.split())
+    queries._write_exports(rows.coalesce(1), str(tmp_path / "export"))
+    files = list((tmp_path / "export").glob("*/*.gz"))
+    assert {f.name for f in files} == {f"{n}.xml.gz" for n in ("reports", *queries._XML_COLUMNS)}
+    assert sum(len(gzip.decompress(f.read_bytes())) for f in files) > 5 * sum(f.stat().st_size for f in files)
+    assert load_source(spark, "mozilla", str(tmp_path / "export")).count() == 2000
+
+
 def test_xml_limit_follows_products(spark, exports):
     rows = load_source(spark, "mozilla", str(exports / "xml"), limit=2).collect()
     assert sorted((r.project, r.title) for r in rows) == [("A", "first"), ("Prod + B", "new & x")]
